@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import mixing, sstable, token_counts
+from graphloom.llm import mixing, quality, sstable, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,19 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+def fold(parts: int, held: int) -> Column:
+    """Whether a row is held out: its id's checksum falls in one of ``parts`` folds."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == held
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(3, 1), threshold=0.7)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5, 0), threshold=0.3)
+
+
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
@@ -64,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op4_token_counts": op4_token_counts,
     "op6_token_shards": op6_token_shards,
+    "op7_toxicity": op7_toxicity,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {"op2_mix_sources": MIX_SQL}
