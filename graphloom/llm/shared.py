@@ -73,3 +73,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     star = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return star.unionByName(roots)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows (for tables of one or two numbers a row); else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
