@@ -72,7 +72,7 @@ def _splits_safely(path: str) -> bool:
     kinds = re.findall(r'"type": ?"(\w+)"', json.dumps(spec.get("pre_tokenizer")))
     normal = set(re.findall(r'"type": ?"(\w+)"', json.dumps(spec.get("normalizer"))))
     added = spec.get("added_tokens") or []
-    plain = all(not a["lstrip"] and not a["rstrip"] and not re.search(r"\s", a["content"]) for a in added)
+    plain = all(not a["lstrip"] and not a["rstrip"] and not re.search(r"[\s.,!?;:#$%&*]", a["content"]) for a in added)
     return "ByteLevel" in kinds and plain and normal <= {"Sequence", "NFC", "Replace", "Lowercase"}
 
 
