@@ -27,9 +27,9 @@ CARRIER = b" the of and to in that is for it with as by on are this be from or "
 OPEN, CLOSE = b"\x02\x02\x02", b"\x03\x03\x03"
 THRESHOLDS = (2, 4, 6)
 MAX_TOXIC, MAX_ORDINARY = 2_000, 6_000
-ORDINARY_WINDOWS, TOXIC_WINDOWS = 8_000, 4_000
+ORDINARY_WINDOWS, TOXIC_WINDOWS = 3_000, 1_500
 MAX_SAMPLE_CHARS = 40_000_000
-CACHE_WINDOWS = 300_000
+CACHE_WINDOWS = 500_000
 LONGEST_WINDOW = 200
 
 _cache: dict = {}
@@ -57,16 +57,15 @@ class Distance:
     @staticmethod
     def _compressor(content: bytes) -> zstd.ZstdCompressor:
         parameters = zstd.ZstdCompressionParameters(
-            window_log=18, hash_log=15, chain_log=15, search_log=4, min_match=3, target_length=32, strategy=zstd.STRATEGY_BTULTRA,
+            window_log=18, hash_log=13, chain_log=14, search_log=4, min_match=3, target_length=32, strategy=zstd.STRATEGY_BTOPT,
             format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
         )
         return zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content + CARRIER, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=parameters)
 
     def __call__(self, found: list[str]) -> np.ndarray:
         if len(self.cache) > CACHE_WINDOWS:
-            keep = set(found)
-            self.cache = {k: v for k, v in self.cache.items() if k in keep}
-        for w in set(found) - self.cache.keys():
+            self.cache.clear()
+        for w in {w for w in found if w not in self.cache}:
             data = CARRIER + _wrap(w)
             self.cache[w] = len(self.pair[0].compress(data)) - len(self.pair[1].compress(data))
         return np.fromiter(map(self.cache.__getitem__, found), np.int64, len(found))
