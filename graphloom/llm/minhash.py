@@ -14,7 +14,8 @@ verified on the exact multisets.  Groups are connected components of verified li
 2. each member of a bucket is held against the bucket's smallest id, the likeliest partner kept;
 3. buckets whose members are still in different components are cut into tiles of bounded size,
    in which each document names its likeliest partner of another component;
-4. at last all candidates that still lie in different components are verified.
+4. at last all candidates that still lie in different components are held against an estimate
+   from finer signatures, made for these documents only, and what passes is verified.
 
 So a bucket of n near copies costs about n verifications, not n squared.
 """
@@ -35,8 +36,14 @@ from graphloom.llm.token_counts import byte_batches
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 7
 REGISTERS = BANDS * ROWS
-#: Four standard deviations of the estimate below the threshold.
-ESTIMATE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
+FINE_REGISTERS = 2_048
+
+
+def least_estimate(registers: int) -> float:
+    """Four standard deviations of the estimate below the threshold."""
+    return SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / registers) ** 0.5
+
+
 TILE = 512
 BATCH_CHARS, BATCH_DOCS = 2 << 20, 2_048
 
@@ -177,7 +184,7 @@ def weighted_jaccard(left: list[str], right: list[str]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", registers: int = REGISTERS) -> DataFrame:
     """``(id, digest, size, bands, bytes)``: the signature of every whole text; nulls where it has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +195,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 for lo, hi in byte_batches(part, BATCH_CHARS):
                     shingle, doc, weight, digests = multisets(part[lo:hi])
                     n = hi - lo
-                    band, small = bands_of(bag_minhash(shingle, doc, weight, n))
+                    band, small = bands_of(bag_minhash(shingle, doc, weight, n, registers))
                     none = np.array([d is None for d in digests])
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), pa.array(band.reshape(-1)), mask=pa.array(none))
                     size = np.bincount(doc, weight, n).astype(np.int64)
@@ -216,7 +223,7 @@ def _estimates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             share = _agreement(a, b) if len(a) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], ["a", "b", "estimate"])
 
-    return joined.select("a", "b", "bytes_a", "bytes_b").mapInArrow(run, "a long, b long, estimate double").where(F.col("estimate") >= ESTIMATE)
+    return joined.select("a", "b", "bytes_a", "bytes_b").mapInArrow(run, "a long, b long, estimate double").where(F.col("estimate") >= least_estimate(REGISTERS))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -236,12 +243,17 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return checkpointed(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b"))
 
 
-def _tile_pairs(buckets: DataFrame, reps: DataFrame, components: DataFrame, best_only: bool) -> DataFrame:
-    """Candidate pairs of different components inside buckets, found tile by tile; of each document only its likeliest if ``best_only``."""
+def _unsettled(buckets: DataFrame, components: DataFrame) -> DataFrame:
+    """``(bucket, id, component, blocks)``: the members of buckets that still hold several components."""
     placed = buckets.join(components.withColumnsRenamed({"component": "known"}), "id", "left").withColumn("component", F.coalesce("known", "id")).drop("known")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
-    mixed = mixed.where("low <> high").select("bucket", "blocks")
-    placed = placed.join(mixed, "bucket").join(reps.select("id", "size", "bytes"), "id")
+    return placed.join(mixed.where("low <> high").select("bucket", "blocks"), "bucket")
+
+
+def _tile_pairs(placed: DataFrame, reps: DataFrame, best_only: bool, registers: int) -> DataFrame:
+    """Candidate pairs of different components inside buckets, found tile by tile; of each document only its likeliest if ``best_only``."""
+    least = least_estimate(registers)
+    placed = placed.join(reps.select("id", "size", "bytes"), "id")
     dealt = placed.withColumn("block", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = dealt.groupBy("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("id", "component", "size", "block", "bytes")).alias("members"))
 
@@ -261,7 +273,7 @@ def _tile_pairs(buckets: DataFrame, reps: DataFrame, components: DataFrame, best
                     if not len(where):
                         continue
                     share = _agreement(small[near][where], small[i])
-                    ok = share >= ESTIMATE
+                    ok = share >= least
                     if best_only and ok.any():
                         top = where[share.argmax()]
                         found.append((ids[i], ids[near][top], share.max()))
@@ -302,7 +314,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(tried, texts)
     components = checkpointed(connected_components(links, "a", "b"))
     for best_only in [True] * best_rounds + [False]:
-        more = checkpointed(_tile_pairs(buckets.drop("pivot"), reps, components, best_only).join(tried, ["a", "b"], "left_anti"))
+        placed = checkpointed(_unsettled(buckets.drop("pivot"), components))
+        if best_only:
+            pairs = _tile_pairs(placed, reps, True, REGISTERS)
+        else:
+            left = placed.select("id").distinct()
+            fine = signatures(texts.join(broadcast_if_small(left), "id", "left_semi"), "id", "text", FINE_REGISTERS).dropDuplicates(["id"])
+            pairs = _tile_pairs(placed, checkpointed(fine.select("id", "size", "bytes")), False, FINE_REGISTERS)
+        more = checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
         found = _verified(more, texts)
