@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import embedding_dedup, minhash, mixing, quality, sstable, token_counts, toxicity
+from graphloom.llm import decontaminate, embedding_dedup, licenses, minhash, mixing, pii, quality, sstable, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), max_tokens=2048)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
@@ -45,6 +53,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(3, 1), threshold=0.7)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.recognise(table(spark, sf_dir, "documents"))
+    return out.withColumn("licenses", F.concat_ws(",", "licenses"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -83,11 +96,14 @@ FROM laid
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_pii": op5_pii,
     "op6_token_shards": op6_token_shards,
     "op7_toxicity": op7_toxicity,
+    "op8_licenses": op8_licenses,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_quality": op10_quality,
 }
