@@ -26,7 +26,7 @@ NODES = """nodes AS (
   UNION ALL SELECT c_custkey * 8 + 2, c_name, 'Entity', 0, lower(c_mktsegment) FROM customer
   UNION ALL SELECT s_suppkey * 8 + 3, s_name, 'Entity', 0, 'default' FROM supplier
   UNION ALL SELECT p_partkey * 8 + 4, p_name, 'Entity', 0, 'default' FROM part
-  UNION ALL SELECT o_orderkey * 8 + 5, 'order ' || o_orderkey, 'Event', epoch(o_orderdate)::BIGINT, lower(o_orderpriority) FROM orders)"""
+  UNION ALL SELECT o_orderkey * 8 + 5, 'order ' || o_orderkey, 'Event', floor(epoch(o_orderdate))::BIGINT, lower(o_orderpriority) FROM orders)"""
 PLACES = """places AS (
   SELECT c_custkey * 8 + 2 AS source, c_nationkey::BIGINT * 8 + 1 AS target, 'Location' AS edge_type, 1.0::DOUBLE AS weight FROM customer
   UNION ALL SELECT s_suppkey * 8 + 3, s_nationkey::BIGINT * 8 + 1, 'Location', 1.0 FROM supplier
@@ -41,12 +41,12 @@ EDGES = (
 )
 FACTS = """facts AS (
   SELECT event_id AS id, user_id AS subject, event_type AS predicate, json_extract_string(props, '$.k') AS object,
-         least(greatest(value / 500.0, 0.0), 1.0) AS source_confidence, epoch(ts)::BIGINT AS timestamp FROM events)"""
+         least(greatest(value / 500.0, 0.0), 1.0) AS source_confidence, floor(epoch(ts))::BIGINT AS timestamp FROM events)"""
 MESSAGES = "messages AS (SELECT conv_id * 1000 + turn AS id, conv_id AS conversation_id, turn AS position, role AS author, text AS content, conv_id * 100000 + turn * 60 AS timestamp FROM conversations)"
-#: The nodes whose id is divisible by 20 are the stated start or query set of searches.
-SEEDS = "SELECT id FROM nodes WHERE id % 20 = 0"
+#: The nodes whose key (id without kind) is divisible by 20 are the stated start or query set of searches.
+SEEDS = "SELECT id FROM nodes WHERE (id // 8) % 20 = 0"
 AUDIT = """audit AS (
-  SELECT event_id AS id, epoch(ts)::BIGINT AS timestamp, user_id::VARCHAR AS "user", value,
+  SELECT event_id AS id, floor(epoch(ts))::BIGINT AS timestamp, user_id::VARCHAR AS "user", value,
          CASE event_type WHEN 'purchase' THEN 'POST' WHEN 'signup' THEN 'PUT' WHEN 'error' THEN 'DELETE' ELSE 'GET' END AS method,
          CASE event_type WHEN 'purchase' THEN 'memories.create' WHEN 'signup' THEN 'memories.update' WHEN 'error' THEN 'memories.delete' WHEN 'view' THEN 'entities.get' ELSE 'admin.namespaces.x' END AS action,
          CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS status FROM events)"""
@@ -65,7 +65,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def seeds_of(nodes: DataFrame) -> DataFrame:
-    return nodes.where(F.col("id") % 20 == 0).select("id")
+    return nodes.where(F.floor(F.col("id") / 8) % 20 == 0).select("id")
 
 
 def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +132,10 @@ def fuse_scores(spark, sf_dir):
 
 # --- graph -------------------------------------------------------------------------------------
 
-BOTH = "both AS (SELECT source AS node, target AS neighbour FROM places UNION SELECT target, source FROM places)"
+BOTH = "links AS (SELECT source AS node, target AS neighbour FROM places UNION SELECT target, source FROM places)"
 REACH = f"""{NODES}, {PLACES}, {BOTH}, start AS ({SEEDS} AND id % 8 <= 3),
-  one AS (SELECT DISTINCT s.id AS seed, neighbour AS node FROM start s JOIN both b ON b.node = s.id),
-  two AS (SELECT DISTINCT o.seed, b.neighbour AS node FROM one o JOIN both b ON b.node = o.node),
+  one AS (SELECT DISTINCT s.id AS seed, neighbour AS node FROM start s JOIN links b ON b.node = s.id),
+  two AS (SELECT DISTINCT o.seed, b.neighbour AS node FROM one o JOIN links b ON b.node = o.node),
   reach AS (SELECT id AS seed, id AS node, 0 AS depth FROM start UNION ALL SELECT seed, node, 1 FROM one UNION ALL SELECT seed, node, 2 FROM two),
   least AS (SELECT seed, node, min(depth)::INT AS depth FROM reach GROUP BY ALL)"""
 
@@ -163,7 +163,10 @@ def traverse(spark, sf_dir):
     return graph.traverse(tables.nodes(spark, sf_dir), edges, seeds, 2, (F.col("node_type") == "Entity") & (F.col("namespace") != "building")).select("seed", "node", "depth", "content")
 
 
-@query(f"WITH {REACH.replace('FROM places UNION SELECT target, source FROM places', chr(70) + 'ROM places WHERE edge_type = ' + chr(39) + 'Location' + chr(39) + ' UNION SELECT target, source FROM places WHERE edge_type = ' + chr(39) + 'Location' + chr(39))} SELECT seed, node, depth FROM least WHERE depth > 0")
+LOCATED = REACH.replace("FROM places UNION SELECT target, source FROM places", "FROM places WHERE edge_type = 'Location' UNION SELECT target, source FROM places WHERE edge_type = 'Location'")
+
+
+@query(f"WITH {LOCATED} SELECT seed, node, depth FROM least WHERE depth > 0")
 def neighbors_edge_filter(spark, sf_dir):
     """F2 (Q1): the edge predicate holds before each hop."""
     return graph.neighbours(*places_and_seeds(spark, sf_dir), 2, F.col("edge_type") == "Location")
@@ -209,7 +212,7 @@ def simple_paths(spark, sf_dir):
 
 
 @query(f"""{PATHS}, best AS (SELECT goal, start, count(*) AS n FROM walk GROUP BY ALL)
-SELECT start, goal, n AS paths, round(0.4 * 0.64 + 0.4 * 0.7 + 0.2 * 1.0, 9) AS reward FROM best""")
+SELECT start, goal, n AS paths, round((0.4 * 0.64 + 0.4 * 0.7 + 0.2 * 1.0)::DOUBLE, 9) AS reward FROM best""")
 def path_reward(spark, sf_dir):
     """The best reward of each pair and how many paths there are."""
     edges = tables.edges(spark, sf_dir).where("edge_type in ('Actor', 'Companion')")
@@ -265,7 +268,7 @@ def upsert_nodes(spark, sf_dir):
     return graph.upsert(nodes, new, ["id"]).select("id", "content", "node_type", "timestamp", "namespace")
 
 
-@query(f"WITH {NODES}, {EDGES} SELECT source, target, edge_type FROM edges WHERE source % 20 <> 0 AND target % 20 <> 0")
+@query(f"WITH {NODES}, {EDGES} SELECT source, target, edge_type FROM edges WHERE (source // 8) % 20 <> 0 AND (target // 8) % 20 <> 0")
 def delete_cascade(spark, sf_dir):
     """The edges left after every twentieth node went."""
     nodes = tables.nodes(spark, sf_dir)
@@ -406,10 +409,10 @@ def forget_report(spark, sf_dir):
     return tenancy.forget_report(tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir), F.col("namespace") == "building")
 
 
-@query(f"WITH {NODES} SELECT id, node_type, timestamp FROM nodes WHERE node_type IN ('Event', 'Fact') AND timestamp BETWEEN 725846400 AND 757382400")
+@query(f"WITH {NODES} SELECT id, node_type, timestamp FROM nodes WHERE node_type IN ('Event', 'Fact') AND timestamp BETWEEN 820454400 AND 852076800")
 def clone_filter(spark, sf_dir):
     """F5/F7."""
-    return tenancy.selected(tables.nodes(spark, sf_dir), ["Event", "Fact"], 725_846_400, 757_382_400).select("id", "node_type", "timestamp")
+    return tenancy.selected(tables.nodes(spark, sf_dir), ["Event", "Fact"], 820_454_400, 852_076_800).select("id", "node_type", "timestamp")
 
 
 @query(f"WITH {AUDIT} SELECT id, action, method FROM audit WHERE timestamp >= 1704500000 AND action LIKE '%memories%' AND status = 200")
@@ -572,17 +575,17 @@ def community_labels(spark, sf_dir):
     return communities.label_propagation(knn_edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {PLACES}, e AS (SELECT source AS a, target AS b FROM places UNION SELECT target, source FROM places), walk AS (SELECT a AS id, a AS at FROM e WHERE a % 8 = 0 UNION SELECT w.id, e.b FROM walk w JOIN e ON e.a = w.at) SELECT at AS id, min(id) AS component FROM walk GROUP BY at")
+@query(f"WITH RECURSIVE {PLACES}, e AS (SELECT source AS a, target AS b FROM places UNION SELECT target, source FROM places), walk AS (SELECT a AS root, a AS node FROM e WHERE a % 8 = 0 UNION SELECT w.root, e.b FROM walk w JOIN e ON e.a = w.node) SELECT node AS id, min(component) AS component FROM walk JOIN (SELECT root, min(node) AS component FROM walk GROUP BY root) USING (root) GROUP BY node")
 def components(spark, sf_dir):
     """Connected components of customers, suppliers, nations and regions."""
     return graph.connected_components(tables.places(spark, sf_dir))
 
 
-@query(f"""WITH k AS (SELECT vec_id AS id, label, embedding FROM embeddings WHERE label IS NOT NULL) SELECT b.id AS removed, min(a.id) AS survivor FROM k a JOIN k b ON a.label = b.label AND a.id < b.id WHERE {DOT} >= 0.6 GROUP BY b.id""")
+@query(f"""WITH k AS (SELECT vec_id AS id, label, embedding FROM embeddings WHERE label IS NOT NULL) SELECT b.id AS removed, min(a.id) AS survivor FROM k a JOIN k b ON a.label = b.label AND a.id < b.id WHERE {DOT} >= 0.2 GROUP BY b.id""")
 def entity_merge_pairs(spark, sf_dir):
     """The label is the name."""
     e = vectors_of(spark, sf_dir).where("label is not null").select("id", F.col("label").cast("string").alias("content"), "embedding")
-    return scoring.merge_pairs(e, 0.6)
+    return scoring.merge_pairs(e, 0.2)
 
 
 # --- evaluation --------------------------------------------------------------------------------
