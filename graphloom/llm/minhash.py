@@ -36,7 +36,7 @@ from graphloom.llm.token_counts import byte_batches
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 7
 REGISTERS = BANDS * ROWS
-FINE_REGISTERS = 2_048
+FINE_REGISTERS = 1_024
 
 
 def least_estimate(registers: int) -> float:
@@ -190,8 +190,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for first in range(0, len(texts), BATCH_DOCS):
-                part = texts[first : first + BATCH_DOCS]
+            step = max(64, BATCH_DOCS * REGISTERS // registers)  # the same memory for signatures of any length
+            for first in range(0, len(texts), step):
+                part = texts[first : first + step]
                 for lo, hi in byte_batches(part, BATCH_CHARS):
                     shingle, doc, weight, digests = multisets(part[lo:hi])
                     n = hi - lo
