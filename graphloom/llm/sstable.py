@@ -37,7 +37,7 @@ FOOTER = struct.Struct("<QQQQQQQ8s")
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS_PER_KEY, BLOOM_PROBES = 10, 7
 SHARD_BYTES = 64 << 20
-CACHE_PIECES, BATCH_CHARS = 700_000, 1 << 20
+CACHE_PIECES, BATCH_CHARS = 1_000_000, 1 << 20
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
