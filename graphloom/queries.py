@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
 from graphloom.functions import vector
-from graphloom.operators import communities, evaluation, facts, graph, mindset, relations, reward, scoring, tenancy, vectors
+from graphloom.operators import communities, evaluation, facts, graph, mindset, relations, reward, scoring, tenancy, training, vectors
 from graphloom.plans import retrieval
 from graphloom.sources import tables
 
@@ -588,6 +588,12 @@ def entity_merge_pairs(spark, sf_dir):
     return scoring.merge_pairs(e, 0.2)
 
 
+@query(f"WITH {NODES}, {EDGES} SELECT source AS id, count(*) AS relations FROM edges WHERE edge_type IN ('RelatesTo', 'CausedBy', 'HasProperty', 'Actor', 'Object', 'Location', 'Companion') AND source IN (SELECT id FROM nodes WHERE node_type = 'Entity') GROUP BY source")
+def linked_entities(spark, sf_dir):
+    """A23."""
+    return training.linked_entities(tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir))
+
+
 # --- evaluation --------------------------------------------------------------------------------
 
 EVAL = f"""{TOPK}, rel AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, CASE WHEN b.vec_id % 3 = 0 THEN 2.0 ELSE 1.0 END AS grade FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0),
