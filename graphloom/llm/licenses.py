@@ -1,9 +1,9 @@
 """License scans by sentence rules.
 
-Sentences are normalised and hashed; known sentences give license-sentence identifiers; the
-sequence of identifiers of a text is matched against rules, each an ordered list of identifiers
-of which at most ``gap`` foreign sentences may stand between two.  All is done in one pass of
-column expressions and one join with the small rule tables; no rows are dropped.
+Known sentences, compared word by word, give license-sentence identifiers; the sequence of
+identifiers of a text is matched against rules, each an ordered list of identifiers of which at
+most ``gap`` foreign sentences may stand between two.  A known sentence may be wrapped at any
+width and may hold end marks.  All is done in one pass of column expressions; no rows are dropped.
 """
 
 from __future__ import annotations
@@ -39,8 +39,14 @@ RULES = [
     ("CC-BY-NC-4.0", ["cc-by-nc-ref"]), ("CC-BY-SA-4.0", ["cc-by-sa-ref"]), ("CC-BY-4.0", ["cc-by-ref"]), ("CC0-1.0", ["cc0-ref"]), ("MPL-2.0", ["mpl-ref"]), ("all-rights-reserved", ["rights"]),
 ]
 GAP = 2
-#: A sentence ends at a line break or at ``. ! ? ;`` before white space.
-SENTENCE_END = r"(?<=[.!?;:])\s+|\n+"
+#: Signs other than line breaks and end marks (``. ! ? ; :`` before white space).
+SIGN = r"[^\p{L}\p{N} \n.!?;:]|[.!?;:](?!\s)"
+#: What may stand between two words of a known sentence: end marks and one line break, but no blank line.
+BETWEEN = r"(?:[ .!?;:]++\n?|\n)[ .!?;:]*+"
+#: A known sentence is followed by an end mark, a line break or the end of the text.
+CLOSE = r" *+(?:\z|[\n.!?;:])"
+#: Foreign text falls into sentences at end marks and blank lines; a single line break is white space.
+SENTENCE_END = r"[.!?;:]|\n *+\n"
 
 
 def normalised(sentence: Column) -> Column:
@@ -53,26 +59,42 @@ def sentence_table(spark: SparkSession, sentences: list = SENTENCES) -> DataFram
     return rows.select("identifier", normalised(F.col("sentence")).alias("sentence")).distinct()
 
 
+def _known_pattern(sentences: list[str]) -> str:
+    """A known sentence after a line break, an end mark, the start or another known sentence; the longest first."""
+    known = "|".join(s.replace(" ", BETWEEN) for s in sorted(sentences, key=lambda s: (-len(s), s)))
+    return rf"(?:\G|[\n.!?;:]) *+(?:{known})(?={CLOSE}| ++(?:{known}){CLOSE})"
+
+
 def recognise(docs: DataFrame, sentences: list = SENTENCES, rules: list = RULES, gap: int = GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, sentence_ids, licenses, n_matches)``, one row per row of ``docs``.
 
-    ``sentence_ids``: identifiers of known sentences in order, as ``position:identifier``;
-    ``licenses``: sorted names of the licenses of which a rule matches; ``n_matches``: how many
-    rules match.  Sentences of the same words are equal whatever their signs and case.  Null and
-    empty texts have none; null and repeated ids are carried row by row; other columns are
-    ignored; an empty table gives an empty result.
+    ``sentence_ids``: identifiers of known sentences in order, as ``position:identifier``, the
+    position being the number of sentences before it; ``licenses``: sorted names of the licenses
+    of which a rule matches; ``n_matches``: how many rules match.  Sentences of the same words are
+    equal whatever their signs, case and line breaks.  Null and empty texts have none; null and
+    repeated ids are carried row by row; other columns are ignored; an empty table gives an empty
+    result.
     """
     spark = docs.sparkSession
-    # one row a known sentence, a list given as a parameter: it becomes a literal map
-    table = sorted(sentence_table(spark, sentences).select("sentence", "identifier", F.length("sentence").alias("n"), F.xxhash64("sentence").alias("h")).collect())
-    known = F.create_map(*[F.lit(x) for r in {r.sentence: r for r in table}.values() for x in (r.sentence, r.identifier)])
-    pieces = F.split(F.coalesce(F.col(text_col), F.lit("")), SENTENCE_END, -1)
-    rows = docs.select(F.col(id_col).alias("id"), F.transform(pieces, lambda s: normalised(s)).alias("sentences"))
-    hit = lambda s: F.length(s).between(min(r.n for r in table), max(r.n for r in table)) & F.xxhash64(s).isin(*[r.h for r in table])
-    found = F.filter(F.transform("sentences", lambda s, i: F.when(hit(s), F.struct(i.alias("at"), s.alias("sentence")))), lambda x: x.isNotNull())
-    rows = rows.select("id", found.alias("found"))
-    named = F.transform("found", lambda x: F.struct(x["at"].alias("at"), F.element_at(known, x["sentence"]).alias("identifier")))
-    rows = rows.select("id", F.filter(named, lambda x: x["identifier"].isNotNull()).alias("named"))
+    # one row a known sentence, a list given as a parameter: it becomes a pattern and a literal map
+    table = {r.sentence: r.identifier for r in sorted(sentence_table(spark, sentences).where("sentence <> ''").collect())}
+    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    pattern = _known_pattern(list(table))
+    rows = docs.select(F.col(id_col).alias("id"), F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SIGN, " ").alias("plain"))
+    # a row a piece of foreign text and the known sentence after it
+    found = F.arrays_zip(F.regexp_extract_all("plain", F.lit(pattern), F.lit(0)).alias("sentence"), F.split("plain", pattern, -1).alias("before"))
+    rows = rows.select("id", F.when(F.rlike("plain", F.lit(pattern)), found).otherwise(F.array()).alias("found"))
+    foreign = lambda text: F.size(F.filter(F.split(text, SENTENCE_END, -1), lambda s: F.rlike(s, F.lit(r"[\p{L}\p{N}]"))))
+    named = F.aggregate(
+        F.filter("found", lambda x: x["sentence"].isNotNull()),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,identifier:string>>").alias("named")),
+        lambda a, x: F.struct(
+            (a["at"] + foreign(x["before"]) + 1).alias("at"),
+            F.concat(a["named"], F.array(F.struct((a["at"] + foreign(x["before"])).alias("at"), F.element_at(known, normalised(x["sentence"])).alias("identifier")))).alias("named"),
+        ),
+        lambda a: a["named"],
+    )
+    rows = rows.select("id", named.alias("named"))
     matches = [F.when(_matches(ids, gap), F.lit(name)) for name, ids in rules]
     matched = F.filter(F.array(*matches), lambda x: x.isNotNull())
     text = F.transform("named", lambda x: F.concat_ws(":", x["at"], x["identifier"]))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -195,6 +196,22 @@ def test_license_rules_need_their_order(spark):
     assert got == {1: ["MIT"], 2: ["BSD-2-Clause"], 3: [], 4: ["MIT"], 5: []}
 
 
+def test_every_license_rule_matches_its_own_text(spark):
+    text = dict(licenses.SENTENCES[::-1])
+    rows, want = [], []
+    for name, ids in licenses.RULES:
+        whole = " ".join(text[i] for i in ids)
+        wrapped = textwrap.fill(whole, 72, break_on_hyphens=False)
+        comment = "# Copyright 2020 Some Body\n" + textwrap.indent(textwrap.fill(whole, 60, break_on_hyphens=False), "# ") + "\nimport os\n"
+        for x in (whole, wrapped, wrapped.replace("\n", "\r\n"), comment):
+            rows.append((len(rows), x))
+            want.append(name)
+    rows.append((len(rows), "Released under the MIT\n\nLicense"))
+    got = {r.doc_id: r for r in licenses.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(i, n) for i, n in enumerate(want) if n not in got[i].licenses] == []
+    assert got[len(want)].sentence_ids == "" and got[len(want)].n_matches == 0
+
+
 @pytest.mark.parametrize("module, column, parts, held, least", [(toxicity, "toxic", 3, 1, 0.85), (quality, "quality", 5, 0, 0.93)])
 def test_held_out_accuracy(spark, module, column, parts, held, least):
     folder = "/root/testdata/sf0.01"
