@@ -87,19 +87,41 @@ def _windows(rows: DataFrame, column: str, size: int, out: str) -> DataFrame:
     return rows.withColumn(out, F.col(last)).drop(*[c for c in rows.columns if c.startswith(("_w", "_x")) and c != out])
 
 
+def _variants(typed: str, text: str) -> Column:
+    """The typed tokens of an item as a document may hold it: after other words of the sentence, and in one case."""
+    tokens = lambda c: F.transform(_raw_tokens(c), _typed)
+    inside = lambda c: F.transform(_raw_tokens(c), lambda t, i: _typed(t, i + 1))
+    return F.array_distinct(F.array(F.col(typed), inside(F.col(text)), tokens(F.lower(text)), tokens(F.upper(text)), inside(F.upper(text))))
+
+
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """``item, typed, template, width``: one row per class of items that share template and slot pattern, named by the smallest id."""
-    rows = with_tokens(benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item is not null"))
+    """``item, variant, typed, template, fixed, width``: one row per variant of a class of items.
+
+    Items that share template and slot pattern are one class, named by the smallest id.  ``fixed``:
+    whether a token is a word of the item that only its place or case makes a name.
+    """
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item is not null")
+    rows = rows.withColumn("own", F.transform(_raw_tokens(F.col("text")), _typed)).where(F.size("own") >= MIN_WINDOW)
+    rows = _with_pattern(rows.withColumn("typed", F.col("own")))
+    classes = rows.groupBy("template", "pattern").agg(F.min("item").alias("class"))
+    rows = rows.join(classes, ["template", "pattern"]).select(F.col("class").alias("item"), "own", F.explode(_variants("own", "text")).alias("typed"))
+    fixed = F.zip_with("own", "typed", lambda o, t: F.coalesce(F.startswith(o, F.lit("w:")) & F.startswith(t, F.lit("p:")), F.lit(False)))
+    rows = _with_pattern(rows.withColumn("fixed", fixed))
+    words = F.array_join(F.transform(F.arrays_zip("typed", "fixed"), lambda x: F.when(x["fixed"], x["typed"]).otherwise("")), " ")
+    rows = rows.groupBy("item", "template", "pattern", words.alias("words")).agg(F.min_by(F.struct("typed", "fixed"), "typed").alias("first"))
+    return rows.select("item", F.xxhash64("template", "pattern", "words").alias("variant"), "first.typed", "template", "first.fixed", F.least(F.lit(window), F.size("template")).alias("width"))
+
+
+def _with_pattern(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("template", _template("typed")).withColumn("slots", F.filter(_slots("typed"), lambda s: s.isNotNull()))
-    rows = rows.withColumn("pattern", F.transform("slots", lambda s: F.array_position(F.col("slots"), s))).where(F.size("typed") >= MIN_WINDOW)
-    classes = rows.groupBy("template", "pattern").agg(F.min_by("typed", "item").alias("typed"), F.min("item").alias("item"))
-    return classes.select("item", "typed", "template", F.least(F.lit(window), F.size("template")).alias("width"))
+    return rows.withColumn("pattern", F.transform("slots", lambda s: F.array_position(F.col("slots"), s))).drop("slots")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``(doc_id, items, coverage)`` of the documents that hold a benchmark item.
 
-    An item counts if at least ``min_coverage`` of its windows are found in the document with
+    An item is sought as it stands, after other words of a sentence and in lower or upper case.
+    It counts if, in one of these forms, at least ``min_coverage`` of its windows are found in the document with
     consistent slots.  Items shorter than ``window`` are one window of their own length; items of
     fewer than three tokens take no part.
     """
@@ -112,37 +134,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     keys, found = [], []
     for width in widths:
         own = _windows(items.where(F.col("width") == width), "template", width, "hashes")
-        own = own.select("item", "typed", F.posexplode("hashes").alias("item_at", "hash"))
+        own = own.select("item", "variant", "typed", F.posexplode("hashes").alias("item_at", "hash"))
         words = F.size(F.filter(F.slice("typed", F.col("item_at") + 1, F.lit(width)), lambda t: F.startswith(t, F.lit("w:"))))
-        own = own.select("item", "item_at", "hash", words.alias("words"), F.lit(width).alias("width"))
+        own = own.select("item", "variant", "item_at", "hash", words.alias("words"), F.lit(width).alias("width"))
         keys.append(own)
     keys = checkpointed(_unioned(keys))
-    most = keys.groupBy("item").agg(F.max("words").alias("most"))
-    keys = keys.join(most, "item").where(F.col("words") >= F.least(F.lit(MIN_WORDS), F.col("most"))).select("item", "item_at", "hash", "width")
+    most = keys.groupBy("item", "variant").agg(F.max("words").alias("most"))
+    keys = keys.join(most, ["item", "variant"]).where(F.col("words") >= F.least(F.lit(MIN_WORDS), F.col("most"))).select("item", "variant", "item_at", "hash", "width")
     keys = checkpointed(keys)
-    totals = keys.groupBy("item").agg(F.count(F.lit(1)).alias("windows"))
+    totals = keys.groupBy("item", "variant").agg(F.count(F.lit(1)).alias("windows"))
     for width in widths:
         # the outer form keeps the optimizer from inferring a filter that would compute all of this a second time
         rows = _windows(templates, "template", width, "hashes").select("id", F.posexplode_outer("hashes").alias("at", "hash"))
-        own = keys.where(F.col("width") == width).select("item", "item_at", "hash")
+        own = keys.where(F.col("width") == width).select("item", "variant", "item_at", "hash")
         hits = rows.join(broadcast_if_small(own, BROADCAST_WINDOWS), "hash")
-        found.append(hits.select("id", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.lit(width).alias("width")))
+        found.append(hits.select("id", "item", "variant", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.lit(width).alias("width")))
     # at most one row a matched offset; a passage repeated in a text gives one row a repetition
-    runs = _unioned(found).groupBy("id", "item", "shift", "width").agg(F.collect_set("item_at").alias("starts"))
+    runs = _unioned(found).groupBy("id", "item", "variant", "shift", "width").agg(F.collect_set("item_at").alias("starts"))
     runs = checkpointed(runs)
     ids = runs.select(F.col("id").alias("_hit")).distinct()
     held = with_tokens(texts.join(broadcast_if_small(ids), F.col("id").eqNullSafe(F.col("_hit")), "left_semi")).withColumn("doc_slots", _slots("typed")).select(F.col("id").alias("_id"), "doc_slots")
-    slots = items.select(F.col("item").alias("_item"), _slots("typed").alias("item_slots"))
-    aligned = runs.join(broadcast_if_small(slots), F.col("item") == F.col("_item")).join(held, F.col("id").eqNullSafe(F.col("_id")))
+    slots = items.select(F.col("item").alias("_item"), F.col("variant").alias("_variant"), "fixed", _slots("typed").alias("item_slots"))
+    aligned = runs.join(broadcast_if_small(slots), (F.col("item") == F.col("_item")) & (F.col("variant") == F.col("_variant"))).join(held, F.col("id").eqNullSafe(F.col("_id")))
     covered = F.filter(
         F.transform("item_slots", lambda s, p: F.when(s.isNotNull() & F.exists("starts", lambda q: (p >= q) & (p < q + F.col("width"))), F.struct(s.alias("ours"), F.get(F.col("doc_slots"), p + F.col("shift")).alias("theirs")))),
         lambda x: x.isNotNull(),
     )
     pairs = F.array_distinct(F.col("covered"))
     distinct = lambda name: F.size(F.array_distinct(F.transform("covered", lambda x: x[name])))
+    # a word that only its place makes a name must be the same word
+    other = F.filter(F.transform("fixed", lambda f, p: F.when(f & ~F.get("item_slots", p).eqNullSafe(F.get("doc_slots", p + F.col("shift"))), p)), lambda p: p.isNotNull())
+    aligned = aligned.withColumn("other", other).withColumn("starts", F.filter("starts", lambda q: ~F.exists("other", lambda p: (p >= q) & (p < q + F.col("width")))))
     sound = aligned.withColumn("covered", covered).where((F.size(pairs) == distinct("ours")) & (F.size(pairs) == distinct("theirs")))
-    per = sound.select("id", "item", F.explode("starts").alias("start")).distinct().groupBy("id", "item").agg(F.count(F.lit(1)).alias("n"))
-    per = per.join(totals, "item").withColumn("coverage", F.col("n") / F.col("windows")).where(F.col("coverage") >= min_coverage)
+    per = sound.select("id", "item", "variant", F.explode("starts").alias("start")).distinct().groupBy("id", "item", "variant").agg(F.count(F.lit(1)).alias("n"))
+    per = per.join(totals, ["item", "variant"]).withColumn("coverage", F.col("n") / F.col("windows")).where(F.col("coverage") >= min_coverage)
     return per.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("coverage").alias("coverage")).withColumnRenamed("id", id_col)
 
 

@@ -139,6 +139,17 @@ def test_template_windows_catch_new_numbers_and_names(spark):
     assert {r.doc_id: r.contaminated for r in rows} == {1: True, 2: False, 3: False, 4: True}
 
 
+def test_short_items_inside_a_line_and_in_one_case(spark):
+    items = ["Who wrote Hamlet?", "Name the longest river.", "What is the capital of France?", "A train leaves Rome at noon today", "In which year did Ada Lovelace die?"]
+    forms = ["Q: {}", "Here is one: \"{}\"", "- {}", "({})", "so I asked {} and left"]
+    docs = [(f.format(c(i)), k) for k, i in enumerate(items) for f in forms for c in (str, str.lower, str.upper)]
+    # words in the place of names are held to be the same word
+    docs += [("We know that Paris is the capital of Spain", None), ("and Which is the capital of Spain", None)]
+    rows = [(n, t) for n, (t, _) in enumerate(docs)]
+    got = {r.doc_id: r for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), benchmark(spark, list(enumerate(items)))).collect()}
+    assert [t for n, (t, k) in enumerate(docs) if list(got[n].item_ids) != ([] if k is None else [k])] == []
+
+
 def test_base_spans_by_brute_force(spark):
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
