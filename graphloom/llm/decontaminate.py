@@ -3,13 +3,15 @@
 Text becomes a sequence of template tokens: numbers, units after numbers and names (capitalised
 words inside a sentence) turn into typed placeholders, other words are lower-cased.  Windows of
 ``WINDOW`` template tokens are hashed and joined with the benchmark's windows.  What matches is
-aligned by its offset, and the placeholders' values under the matched windows must map one to
-one between item and document: a question with other numbers or names is still found, a mere
-coincidence of shape is not.
+aligned by its offset; a value of the item must stand for one value in the document, and windows
+over placeholders that do not fit are dropped: a question with other numbers or names is still
+found, a mere coincidence of shape is not.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,20 +159,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     slots = items.select(F.col("item").alias("_item"), F.col("variant").alias("_variant"), "fixed", _slots("typed").alias("item_slots"))
     aligned = runs.join(broadcast_if_small(slots), (F.col("item") == F.col("_item")) & (F.col("variant") == F.col("_variant"))).join(held, F.col("id").eqNullSafe(F.col("_id")))
     covered = F.filter(
-        F.transform("item_slots", lambda s, p: F.when(s.isNotNull() & F.exists("starts", lambda q: (p >= q) & (p < q + F.col("width"))), F.struct(s.alias("ours"), F.get(F.col("doc_slots"), p + F.col("shift")).alias("theirs")))),
+        F.transform("item_slots", lambda s, p: F.when(s.isNotNull() & F.exists("starts", lambda q: (p >= q) & (p < q + F.col("width"))), F.struct(p.alias("at"), s.alias("ours"), F.get(F.col("doc_slots"), p + F.col("shift")).alias("theirs")))),
         lambda x: x.isNotNull(),
     )
-    pairs = F.array_distinct(F.col("covered"))
-    distinct = lambda name: F.size(F.array_distinct(F.transform("covered", lambda x: x[name])))
+    clear = lambda bad: F.filter("starts", lambda q: ~F.exists(bad, lambda p: (p >= q) & (p < q + F.col("width"))))
     # a word that only its place makes a name must be the same word
     other = F.filter(F.transform("fixed", lambda f, p: F.when(f & ~F.get("item_slots", p).eqNullSafe(F.get("doc_slots", p + F.col("shift"))), p)), lambda p: p.isNotNull())
-    aligned = aligned.withColumn("other", other).withColumn("starts", F.filter("starts", lambda q: ~F.exists("other", lambda p: (p >= q) & (p < q + F.col("width")))))
-    sound = aligned.withColumn("covered", covered).where((F.size(pairs) == distinct("ours")) & (F.size(pairs) == distinct("theirs")))
+    aligned = aligned.withColumn("starts", _let(other, clear))
+    sound = aligned.withColumn("starts", _let(covered, lambda c: _let(_conflicts(c), clear)))
     per = sound.select("id", "item", "variant", F.explode("starts").alias("start")).distinct().groupBy("id", "item", "variant").agg(F.count(F.lit(1)).alias("n"))
     per = per.join(totals, ["item", "variant"]).withColumn("coverage", F.col("n") / F.col("windows")).where(F.col("coverage") >= min_coverage)
     return per.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("coverage").alias("coverage")).withColumnRenamed("id", id_col)
 
 
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _conflicts(covered: Column) -> Column:
+    """Places of slots whose values do not fit the rest of the alignment.
+
+    A value of the item stands for the value that most of its mentions have in the document, or
+    for itself.  Two numbers of the item that became one fit nowhere.
+    """
+    same = lambda x, y: (x["ours"] == y["ours"]) & (x["theirs"] == y["theirs"])
+    rank = lambda x: F.struct(x["n"], x["ours"] == x["theirs"], x["theirs"])
+    pairs = F.array_distinct(F.transform(covered, lambda x: F.struct(x["ours"].alias("ours"), x["theirs"].alias("theirs"))))
+    votes = F.transform(pairs, lambda x: F.struct(x["ours"].alias("ours"), x["theirs"].alias("theirs"), F.size(F.filter(covered, lambda y: same(x, y))).alias("n")))
+    mapped = _let(votes, lambda v: F.filter(v, lambda x: (x["ours"] == x["theirs"]) | ~F.exists(v, lambda y: (x["ours"] == y["ours"]) & (rank(y) > rank(x)))))
+    merged = lambda x, v: F.startswith(x["ours"], F.lit("n:")) & F.exists(v, lambda y: (x["theirs"] == y["theirs"]) & (x["ours"] != y["ours"]))
+    fit = _let(mapped, lambda v: F.filter(v, lambda x: ~merged(x, v)))
+    return _let(fit, lambda v: F.transform(F.filter(covered, lambda x: ~F.exists(v, lambda y: same(x, y))), lambda x: x["at"]))
+
+
 def _unioned(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -150,6 +150,20 @@ def test_short_items_inside_a_line_and_in_one_case(spark):
     assert [t for n, (t, k) in enumerate(docs) if list(got[n].item_ids) != ([] if k is None else [k])] == []
 
 
+def test_a_changed_slot_drops_only_its_windows(spark):
+    items = {
+        1: "Yesterday the gardener Maria planted some roses behind the house, then Maria watered all of them and Maria went home to sleep",
+        2: "On foot he walked 5 km along the river and came back after 5 days with nothing but his old hat and a story to tell",
+        3: "In the morning 3 geese and a duck crossed the old road near the mill, and in the evening 7 geese came back without the duck",
+        4: "At noon old Peter gave an apple to young Susan while nobody looked at the tree",
+    }
+    docs = [(1, items[1].replace("and Maria", "and Marja")), (2, items[2].replace("5 days", "6 days")), (3, items[3].replace("7", "3")), (4, items[4].replace("Susan", "Peter"))]
+    rows = decontaminate.decontaminate(spark.createDataFrame([(i, "So it was. " + x) for i, x in docs], "doc_id long, text string"), benchmark(spark, items.items())).collect()
+    got = {r.doc_id: r for r in rows}
+    assert {i: list(r.item_ids) for i, r in got.items()} == {i: [i] for i in items}
+    assert got[1].coverage < 1 and got[2].coverage < 1 and got[4].coverage == 1
+
+
 def test_base_spans_by_brute_force(spark):
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
