@@ -22,7 +22,9 @@ So a bucket of n near copies costs about n verifications, not n squared.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +50,8 @@ TILE = 512
 BATCH_CHARS, BATCH_DOCS = 2 << 20, 2_048
 
 _IS_WORD = np.array([chr(b).isalnum() or b >= 0x80 for b in range(128)] + [True] * 128)
+#: Blocks of scripts that are written without spaces between words.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)]
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LOW52 = np.uint64((1 << 52) - 1)
 
@@ -65,9 +69,36 @@ def _powers(n: int, base: int = 0x100000001B3) -> np.ndarray:
         return np.cumprod(np.concatenate([[1], np.full(max(0, n - 1), base)]).astype(np.uint64), dtype=np.uint64)
 
 
+@functools.cache
+def _classes() -> np.ndarray:
+    """Of each code point: 0 no word, 1 letter or digit, 2 mark, 3 a word of its own."""
+    of = {"L": 1, "N": 1, "M": 2}
+    out = np.fromiter((of.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000)
+    for low, high in UNSPACED:
+        block = out[low : high + 1]
+        block[block == 1] = 3
+    return out
+
+
+def _spaced(text: str) -> str:
+    """Signs beyond ASCII as spaces, and spaces around each character, with its marks, of a script without spaces."""
+    if text.isascii():
+        return text
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    kind = _classes()[code]
+    code[(kind == 0) & (code >= 128)] = 32
+    alone = kind == 3
+    if alone.any():
+        # a mark belongs to the character before it
+        base = np.maximum.accumulate(np.where(kind != 2, np.arange(len(kind)), 0))
+        after = alone[base]
+        code = np.insert(code, np.flatnonzero((kind[1:] != 2) & (alone[1:] | after[:-1])) + 1, 32)
+    return code.tobytes().decode("utf-32-le")
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs of letters and digits, lower case) of the texts, and each word's text."""
-    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    """Hashes of all words (runs of letters, marks and digits, lower case, or single characters of scripts without spaces) of the texts, and each word's text."""
+    raw = [_spaced(t.lower()).encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
     begins = np.cumsum([0, *[len(r) + 1 for r in raw]])
     word = _IS_WORD[data]

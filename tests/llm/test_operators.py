@@ -125,6 +125,20 @@ def test_near_duplicates_by_brute_force(spark):
     assert got[500] == got[0] and got[502] == 501 and got[504] == 504
 
 
+def test_words_by_unicode_class(spark):
+    plain = " ".join(f"he said \"word{i}\" - and left..." for i in range(40))
+    curly = plain.replace(' "', " \u201c").replace('"', "\u201d").replace("-", "\u2014").replace("...", "\u2026").replace("and left", "and\u00a0left")
+    rng = np.random.default_rng(4)
+    for_ = lambda low, high: "".join(chr(c) for c in rng.integers(low, high, 300))
+    chinese, thai = for_(0x4E00, 0x9FA0), for_(0x0E01, 0x0E2F)
+    other = lambda x: x[:150] + "\u3002" + x[151:]
+    hindi = "\u0939\u093f\u0928\u094d\u0926\u0940"
+    rows = [(1, plain), (2, curly), (3, chinese), (4, other(chinese)), (5, thai), (6, other(thai)), (7, for_(0x4E00, 0x9FA0))]
+    got = {r.doc_id: r.group_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7}
+    assert [len(minhash.word_hashes([x])[0]) for x in (hindi, "\u65e5\u672c go", "\u0e01\u0e34\u0e19", "a\u0301b", "\u00e9\u20ac\u00fc")] == [1, 3, 2, 1, 2]
+
+
 def test_signatures_estimate_weighted_jaccard():
     a, b = " ".join(f"x{i % 50}" for i in range(600)), " ".join(f"x{i % 50}" for i in range(450)) + " y" * 60
     s, d, w, _ = minhash.multisets([a, b])
