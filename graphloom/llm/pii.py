@@ -21,8 +21,11 @@ KINDS = {
     "card": r"[0-9](?:[\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Identifier-like tokens that a pattern may extract: signs and letters of one run that holds a digit.
-INSTANCE = r"(?<![^\s\"'(<\[])[\p{L}0-9._%+@/:#-]*[0-9][\p{L}0-9._%+@/:#-]*"
+_SIGNS = r"[\p{L}0-9._%+@/:#-]"
+#: Runs of signs and letters, brackets inside; plain words are passed over.
+RUN = rf"(?<![^\s\"'(<\[])(?=\p{{L}}*+[0-9._%+@/:#(\[-]){_SIGNS}++(?:[(\[]{_SIGNS}++[)\]]{_SIGNS}++)*+"
+#: Identifier-like tokens that a pattern may extract hold a digit, ``@``, ``_``, or a dot or bracket inside.
+INSTANCE = r"[0-9@_]|\p{L}[.(\[]\p{L}"
 CONTEXT = 24  # characters on either side in which the neighbouring words are sought
 ROUNDS, MIN_PATTERN, MIN_SUPPORT, MIN_INSTANCE = 3, 0.8, 3, 0.9
 
@@ -103,10 +106,15 @@ def discovered(found: DataFrame, rounds: int = ROUNDS, min_pattern: float = MIN_
     kept per distinct (pattern, value), counted before any join, so a common pattern or value is
     one row however often it occurs.
     """
-    may = F.rlike("text", F.lit("[0-9]"))
-    tokens = found.select("id", "text", "base", F.explode(F.when(may, spans(F.col("text"), INSTANCE)).otherwise(F.array())).alias("s"))
-    known = F.filter("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start")))
-    placed = tokens.select("id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), F.get(known, F.lit(0))["kind"].alias("known"), F.struct(*[c.alias(n) for c, n in zip(_context(F.col("text"), F.col("s.start"), F.col("s.end")), "ba")]).alias("near"))
+    may = F.rlike("text", F.lit(INSTANCE))
+    runs = F.filter(spans(F.col("text"), RUN), lambda s: F.rlike(s["value"], F.lit(INSTANCE)))
+    # the end mark of a sentence is no part of an identifier without digits
+    tidy = lambda v: F.when(F.rlike(v, F.lit("[0-9]")), v).otherwise(F.regexp_replace(v, r"[^\p{L}]+$", ""))
+    runs = F.transform(runs, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(tidy(s["value"]))).alias("end"), tidy(s["value"]).alias("value"), F.lit(None).cast("string").alias("known")))
+    unknown = F.filter(F.when(may, runs).otherwise(F.array()), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    seeds = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["value"].alias("value"), b["kind"].alias("known")))
+    tokens = found.select("id", "text", F.explode(F.concat(seeds, unknown)).alias("s"))
+    placed = tokens.select("id", "s.start", "s.end", "s.value", "s.known", F.struct(*[c.alias(n) for c, n in zip(_context(F.col("text"), F.col("s.start"), F.col("s.end")), "ba")]).alias("near"))
     placed = checkpointed(placed)
     b, a = F.col("near.b"), F.col("near.a")
     each = placed.select("id", "start", "end", "value", "known", F.explode(F.array(F.concat(F.lit("<"), b), F.concat(F.lit(">"), a), F.concat(b, F.lit(" _ "), a))).alias("pattern")).where(~F.col("pattern").isin("<^", ">$", "^ _ $"))

@@ -205,6 +205,16 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[100].n_discovered == 1 and got[100].spans.startswith("email:18:") and got[101].n_discovered == 0 and got[0].n_email == 1
 
 
+def test_patterns_discover_identifiers_without_a_digit(spark):
+    names = "ann bob carl dora emil fred gina hans ida jane kurt lena mona nils olga paul rosa sven tina udo vera wim xenia yves zoe".split()
+    seeds = [(i, f"Please mail us at {n}.doe@example.com today or never") for i, n in enumerate(names)]
+    new = ["jane(at)example", "jane.doe@localhost", "jane_doe"]
+    rows = seeds + [(100 + i, f"Please mail us at {n} today or never") for i, n in enumerate(new)] + [(200, "Please come home today or never"), (201, "Please wait (e.g. here) today or never")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[100 + i].spans for i in range(3)] == [f"email:18:{18 + len(n)}" for n in new]
+    assert [got[i].n_discovered for i in (0, 200, 201)] == [0, 0, 0] and got[0].n_email == 1
+
+
 def test_vectors_by_brute_force(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(20, 16))
