@@ -32,8 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import broadcast_if_small, checkpointed, connected_components
-from graphloom.llm.token_counts import byte_batches
+from graphloom.llm.shared import broadcast_if_small, checkpointed, connected_components, text_batches
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 7
@@ -224,7 +223,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             step = max(64, BATCH_DOCS * REGISTERS // registers)  # the same memory for signatures of any length
             for first in range(0, len(texts), step):
                 part = texts[first : first + step]
-                for lo, hi in byte_batches(part, BATCH_CHARS):
+                for lo, hi in text_batches(part, BATCH_CHARS):
                     shingle, doc, weight, digests = multisets(part[lo:hi])
                     n = hi - lo
                     band, small = bands_of(bag_minhash(shingle, doc, weight, n, registers))
@@ -268,7 +267,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             share = [np.zeros(0)]
-            for lo, hi in byte_batches([x if len(x) > len(y) else y for x, y in zip(left, right)], BATCH_CHARS):
+            for lo, hi in text_batches([x if len(x) > len(y) else y for x, y in zip(left, right)], BATCH_CHARS):
                 share.append(weighted_jaccard(left[lo:hi], right[lo:hi]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(share))], ["a", "b", "similarity"])
 

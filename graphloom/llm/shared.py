@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +51,9 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
 
     Alternating large-star and small-star steps over (u > v) edges: each is an aggregate with
     map-side combine and a join on the vertex, so a hub of millions of neighbours is split by the
-    adaptive skew join and never gathered in one task.  Every round is checkpointed.  Edges with
-    a null end and self-loops are dropped; an empty input gives an empty result.
+    adaptive skew join and never gathered in one task.  Every round is checkpointed; what is not
+    settled after ``max_rounds`` is an error.  Edges with a null end and self-loops are dropped;
+    an empty input gives an empty result.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("_a"), F.col(b).alias("_b"))
     e = e.where("_a is not null and _b is not null and u <> v").select("u", "v").distinct()
@@ -70,6 +72,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     star = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return star.unionByName(roots)
@@ -78,3 +82,15 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
 def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows (for tables of one or two numbers a row); else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def text_batches(texts: list, limit: int) -> Iterator[tuple[int, int]]:
+    """Index ranges of ``texts`` that hold about ``limit`` characters each; a longer text stands alone."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > limit:
+            yield start, i
+            start, size = i, 0
+        size += len(text)
+    if start < len(texts):
+        yield start, len(texts)

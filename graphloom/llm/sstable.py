@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 import zlib
 from bisect import bisect_left
@@ -29,15 +28,14 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm import pieces
 from graphloom.llm.shared import checkpointed, scratch_path
-from graphloom.llm.token_counts import SAFE_CUT, _splits_safely, _workers, byte_batches, load_tokenizer
 
 MAGIC = b"GLSST001"
 FOOTER = struct.Struct("<QQQQQQQ8s")
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS_PER_KEY, BLOOM_PROBES = 10, 7
 SHARD_BYTES = 64 << 20
-CACHE_PIECES, BATCH_CHARS = 1_000_000, 1 << 20
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -190,65 +188,6 @@ class ShardReader:
         self.file.close()
 
 
-#: Pieces that tile a text and that no token of a byte-level vocabulary spans: a run of Latin letters before a
-#: sign that no letter joins, a run of signs before white space, one line break, else all up to the next safe cut.
-PIECE = re.compile(
-    r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ .,!?;:#$%&*\n]|\Z)"
-    r"| ?[!-/:-@\[-`{-~]+(?=[ \n]|\Z)"
-    r"|\n(?=[!-~\w])"
-    r"|.(?:(?! [!-~\w]).)*",
-    re.DOTALL,
-)
-PLAIN = re.compile(r" ?\S+")
-
-
-def _line_break(path: str) -> int | None:
-    """The id of a line break, if it is one token that leaves its neighbours as they are."""
-    ids = lambda x: load_tokenizer(path).encode(x, add_special_tokens=False).ids
-    own = ids("\n")
-    return own[0] if len(own) == 1 and ids("ab,\n cd\nef") == ids("ab,") + own + ids(" cd") + own + ids("ef") else None
-
-
-def _encoder(path: str, end_id: int | None):
-    """texts -> uint32 arrays of whole texts; distinct pieces are encoded once per worker."""
-    splits, cache, tail = _splits_safely(path), _workers.setdefault((path, "ids"), {}), b"" if end_id is None else struct.pack("<I", end_id)
-    line_break = _line_break(path) if splits else None
-
-    def encode_pieces(pieces: list[str]) -> list[bytes]:
-        tokenizer = load_tokenizer(path)
-        if path.endswith(".model"):
-            return [np.array(x, "<u4").tobytes() for x in tokenizer.encode(pieces, num_threads=1)]
-        return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def learn(new: list[str]) -> None:
-        plain = [x for x in new if PLAIN.fullmatch(x)] if line_break is not None else []
-        for i in range(0, len(plain), 5_000):  # as lines of one text: the line break's id parts them again
-            some = plain[i : i + 5_000]
-            ids = np.array(load_tokenizer(path).encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            data, ends = ids.tobytes(), [*np.flatnonzero(ids == line_break).tolist(), len(ids)]
-            if len(ends) != len(some):
-                raise ValueError("pieces do not part at line breaks")
-            at = 0
-            for piece, end in zip(some, ends):
-                cache[piece] = data[4 * at : 4 * end]
-                at = end + 1
-        rest = [x for x in new if x not in cache]
-        for i in range(0, len(rest), 20_000):
-            cache.update(zip(rest[i : i + 20_000], encode_pieces(rest[i : i + 20_000])))
-
-    def run(texts: list[str]) -> list[np.ndarray]:
-        if not splits:
-            return [np.frombuffer(x + tail, "<u4") for x in encode_pieces(texts)]
-        # where a line break is no token of its own, white space is dropped and may be cut away
-        pieces = [PIECE.findall(x) if line_break is not None else SAFE_CUT.split(x) for x in texts]
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        learn(list({piece for x in pieces for piece in x if piece not in cache}))
-        return [np.frombuffer(b"".join(map(cache.__getitem__, x)) + tail, "<u4") for x in pieces]
-
-    return run
-
-
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 0, id_width: int | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode whole texts and write them as shards in ascending id order; the manifest is returned.
 
@@ -267,24 +206,25 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     file_system(folder)[0].create_dir(file_system(folder)[1], recursive=True)
     dealt = rows.repartitionByRange(shards, F.col("id").asc_nulls_first(), F.xxhash64("text"))
     dealt = dealt.withColumn("shard", F.spark_partition_id()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    width = id_width
+    splits = pieces.splits_safely(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, writer, out = _encoder(tokenizer_path, end_id), None, None
-        size = width or (2 if _vocabulary(tokenizer_path) <= 1 << 16 else 4)
+        encoder = pieces.Encoder(tokenizer_path) if splits else None
+        writer, out, end = None, None, np.array([] if end_id is None else [end_id], "<u4")
+        size = id_width or (2 if _vocabulary(tokenizer_path) <= 1 << 16 else 4)
         fs, root = file_system(folder)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if writer is None and keys:
+            if writer is None and batch.num_rows:
                 shard = batch.column(2)[0].as_py()
                 own = f"{root}/shard-{shard:06d}.sst.{TaskContext.get().taskAttemptId()}"
                 out = fs.open_output_stream(own)
                 writer = ShardWriter(out, size)
-            for lo, hi in byte_batches(texts):
-                for key, ids in zip(keys[lo:hi], encode(texts[lo:hi])):
-                    writer.add(encode_key(key), ids)
+            for key, ids in zip(batch.column(0).to_pylist(), pieces.ids(tokenizer_path, batch.column(1), encoder)):
+                writer.add(encode_key(key), np.concatenate([ids, end]))
+        del encoder
+        pieces.give_back()
         if writer is not None:
             writer.finish()
             out.close()
@@ -298,7 +238,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
 
 def _vocabulary(path: str) -> int:
-    return load_tokenizer(path).get_piece_size() if path.endswith(".model") else load_tokenizer(path).get_vocab_size()
+    tokenizer = pieces.load_tokenizer(path)
+    return tokenizer.get_piece_size() if path.endswith(".model") else tokenizer.get_vocab_size()
 
 
 def read_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:

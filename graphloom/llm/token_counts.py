@@ -1,14 +1,12 @@
 """Exact token counts of whole texts, computed in Arrow functions that return lengths only.
 
-A text is cut only where no token can span: just before a space that is followed by a visible
-ASCII character or a word character (white space is dropped or starts a token in the supported
-vocabularies), so each piece can be encoded alone.  Distinct pieces of a byte-balanced batch are
-encoded once per worker; what is kept between batches is a bounded cache of piece lengths.
+A batch's bytes are gone through in windows of equal size; a long text goes over several, parted
+where no token can span (see ``pieces``).  Distinct pieces of a window are encoded once, and a
+table bounded in bytes serves the windows that follow.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,64 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A space may start a token or be dropped; what follows never depends on what stands before it.
-SAFE_CUT = re.compile(r" (?=[!-~\w])")
-CACHE_PIECES = 300_000
-BATCH_BYTES = 4 << 20
-
-_workers: dict = {}
-
-
-def byte_batches(texts: list, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Index ranges of ``texts`` that hold about ``limit`` characters each; a longer text stands alone."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def load_tokenizer(path: str):
-    """The tokenizer of a .json or .model file, kept for the life of a Python worker."""
-    if path not in _workers:
-        if path.endswith(".model"):
-            import sentencepiece
-
-            _workers[path] = sentencepiece.SentencePieceProcessor(model_file=path)
-        else:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.no_truncation()
-            tokenizer.no_padding()
-            _workers[path] = tokenizer
-    return _workers[path]
-
-
-def piece_lengths(path: str, pieces: list[str]) -> list[int]:
-    """Token counts of pieces that are encoded one by one."""
-    tokenizer = load_tokenizer(path)
-    if path.endswith(".model"):
-        return [len(x) for x in tokenizer.encode(pieces, num_threads=1)]
-    return [len(x) for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-
-def _splits_safely(path: str) -> bool:
-    """Whether a cut before a space is known to be safe: BPE files with a pre-tokenizer that never spans one."""
-    import json
-
-    if path.endswith(".model"):
-        return False
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    kinds = re.findall(r'"type": ?"(\w+)"', json.dumps(spec.get("pre_tokenizer")))
-    normal = set(re.findall(r'"type": ?"(\w+)"', json.dumps(spec.get("normalizer"))))
-    added = spec.get("added_tokens") or []
-    plain = all(not a["lstrip"] and not a["rstrip"] and not re.search(r"[\s.,!?;:#$%&*]", a["content"]) for a in added)
-    return "ByteLevel" in kinds and plain and normal <= {"Sequence", "NFC", "Replace", "Lowercase"}
+from graphloom.llm import pieces
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,33 +22,24 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, i
 
     Whole texts, no special tokens added, no truncation.  A null text counts as empty (0, 0,
     false); a null id is carried; repeated rows each give a row; other columns are ignored; an
-    empty table gives an empty result.  ``tokenizer_path`` must be readable on every executor.
+    empty table gives an empty result.  A vocabulary whose tokens may span words (``.model``
+    files) gets whole texts, in batches balanced by bytes.  ``tokenizer_path`` must be readable
+    on every executor.
     """
-    splits = _splits_safely(tokenizer_path)
+    splits = pieces.splits_safely(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _workers.setdefault((tokenizer_path, "lengths"), {})
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            counts: list[int] = []
-            for lo, hi in byte_batches(texts):
-                part = texts[lo:hi]
-                if not splits:
-                    counts += piece_lengths(tokenizer_path, part)
-                    continue
-                pieces = [SAFE_CUT.split(x) for x in part]
-                seen = set().union(*pieces)
-                new = list(seen - cache.keys())
-                if len(cache) + len(new) > CACHE_PIECES:  # what this batch uses stays
-                    for piece in cache.keys() - seen:
-                        del cache[piece]
-                for i in range(0, len(new), 20_000):
-                    some = new[i : i + 20_000]
-                    cache.update(zip(some, piece_lengths(tokenizer_path, some)))
-                counts += [sum(map(cache.__getitem__, x)) for x in pieces]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+        encoder = pieces.Encoder(tokenizer_path) if splits else None
+        try:
+            for batch in batches:
+                counts = pieces.lengths(tokenizer_path, batch.column(1), encoder)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
+        finally:
+            del encoder
+            pieces.give_back()
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     out = rows.mapInArrow(run, schema)
