@@ -10,21 +10,20 @@ found, a mere coincidence of shape is not.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import broadcast_if_small, checkpointed
+from graphloom.llm.shared import broadcast_if_small, checkpointed, let
 
 WINDOW, MIN_WINDOW = 8, 3
-MIN_WORDS = 4  # ordinary words in a window, where the item has such windows
+MIN_WORDS = 4
 MIN_COVERAGE = 0.3
 BROADCAST_WINDOWS = 1_000_000
 #: Units that may follow a number.
-UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l s ms sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years km/h mph kph hz khz mhz ghz b kb mb gb tb w kw mw kwh v a c f k percent degrees degree dollars dollar euros euro cents cent pounds pound meters metres meter metre kilometers kilometres miles mile inches inch feet foot grams gram kilograms kilogram liters litres liter litre".split()
+UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l s ms sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years mph kph hz khz mhz ghz b kb mb gb tb w kw mw kwh v a c f k percent degrees degree dollars dollar euros euro cents cent pounds pound meters metres meter metre kilometers kilometres miles mile inches inch feet foot grams gram kilograms kilogram liters litres liter litre".split()
 #: A token, with the sentence mark and signs that stand before it if it begins a sentence.
-TOKEN = r"(?:[.!?\n][^\p{L}0-9]*)?(?:[0-9]+(?:[.,:/][0-9]+)*|\p{L}[\p{L}\p{M}]*)"
+#: Possessive runs: no other match is possible, and no run is too long for the matcher's stack.
+TOKEN = r"(?:[.!?\n][^\p{L}0-9]*+)?(?:[0-9]++(?:[.,:/][0-9]++)*+|\p{L}[\p{L}\p{M}]*+)"
 
 
 def _raw_tokens(text: Column) -> Column:
@@ -119,19 +118,22 @@ def _with_pattern(rows: DataFrame) -> DataFrame:
     return rows.withColumn("pattern", F.transform("slots", lambda s: F.array_position(F.col("slots"), s))).drop("slots")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``(doc_id, items, coverage)`` of the documents that hold a benchmark item.
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``(doc_id, text_hash, items, coverage)`` of the documents that hold a benchmark item.
 
     An item is sought as it stands, after other words of a sentence and in lower or upper case.
-    It counts if, in one of these forms, at least ``min_coverage`` of its windows are found in the document with
-    consistent slots.  Items shorter than ``window`` are one window of their own length; items of
-    fewer than three tokens take no part.
+    It counts if, in one of these forms, at least ``min_coverage`` of its windows are found in the
+    document with consistent slots.  Only windows with ``min_words`` ordinary words count (if an
+    item has none such, those with the most): a run of placeholders fits too much.  Items shorter
+    than ``window`` are one window of their own length; items of fewer than three tokens take no
+    part.  Rows are told apart by id and ``text_hash``, so one id's texts do not share windows.
     """
     items = checkpointed(benchmark_windows(benchmark, item_col, item_text_col, window))
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # at most `window` numbers
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    same = lambda a, b: F.col(f"{a}id").eqNullSafe(F.col(f"{b}id")) & (F.col(f"{a}text_hash") == F.col(f"{b}text_hash"))
     if not widths:
-        return texts.select(F.col("id").alias(id_col), F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("coverage")).limit(0)
+        return texts.select(F.col("id").alias(id_col), "text_hash", F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("coverage")).limit(0)
     templates = with_tokens(texts).withColumn("template", _template("typed")).drop("typed")
     keys, found = [], []
     for width in widths:
@@ -142,22 +144,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
         keys.append(own)
     keys = checkpointed(_unioned(keys))
     most = keys.groupBy("item", "variant").agg(F.max("words").alias("most"))
-    keys = keys.join(most, ["item", "variant"]).where(F.col("words") >= F.least(F.lit(MIN_WORDS), F.col("most"))).select("item", "variant", "item_at", "hash", "width")
+    keys = keys.join(most, ["item", "variant"]).where(F.col("words") >= F.least(F.lit(min_words), F.col("most"))).select("item", "variant", "item_at", "hash", "width")
     keys = checkpointed(keys)
     totals = keys.groupBy("item", "variant").agg(F.count(F.lit(1)).alias("windows"))
     for width in widths:
         # the outer form keeps the optimizer from inferring a filter that would compute all of this a second time
-        rows = _windows(templates, "template", width, "hashes").select("id", F.posexplode_outer("hashes").alias("at", "hash"))
+        rows = _windows(templates, "template", width, "hashes").select("id", "text_hash", F.posexplode_outer("hashes").alias("at", "hash"))
         own = keys.where(F.col("width") == width).select("item", "variant", "item_at", "hash")
         hits = rows.join(broadcast_if_small(own, BROADCAST_WINDOWS), "hash")
-        found.append(hits.select("id", "item", "variant", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.lit(width).alias("width")))
+        found.append(hits.select("id", "text_hash", "item", "variant", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.lit(width).alias("width")))
     # at most one row a matched offset; a passage repeated in a text gives one row a repetition
-    runs = _unioned(found).groupBy("id", "item", "variant", "shift", "width").agg(F.collect_set("item_at").alias("starts"))
+    runs = _unioned(found).groupBy("id", "text_hash", "item", "variant", "shift", "width").agg(F.collect_set("item_at").alias("starts"))
     runs = checkpointed(runs)
-    ids = runs.select(F.col("id").alias("_hit")).distinct()
-    held = with_tokens(texts.join(broadcast_if_small(ids), F.col("id").eqNullSafe(F.col("_hit")), "left_semi")).withColumn("doc_slots", _slots("typed")).select(F.col("id").alias("_id"), "doc_slots")
+    ids = runs.select(F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash")).distinct()
+    held = texts.join(broadcast_if_small(ids), same("", "_"), "left_semi").dropDuplicates(["id", "text_hash"])
+    held = with_tokens(held).select(F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash"), _slots("typed").alias("doc_slots"))
     slots = items.select(F.col("item").alias("_item"), F.col("variant").alias("_variant"), "fixed", _slots("typed").alias("item_slots"))
-    aligned = runs.join(broadcast_if_small(slots), (F.col("item") == F.col("_item")) & (F.col("variant") == F.col("_variant"))).join(held, F.col("id").eqNullSafe(F.col("_id")))
+    aligned = runs.join(broadcast_if_small(slots), (F.col("item") == F.col("_item")) & (F.col("variant") == F.col("_variant"))).join(held, same("", "_"))
     covered = F.filter(
         F.transform("item_slots", lambda s, p: F.when(s.isNotNull() & F.exists("starts", lambda q: (p >= q) & (p < q + F.col("width"))), F.struct(p.alias("at"), s.alias("ours"), F.get(F.col("doc_slots"), p + F.col("shift")).alias("theirs")))),
         lambda x: x.isNotNull(),
@@ -165,16 +168,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     clear = lambda bad: F.filter("starts", lambda q: ~F.exists(bad, lambda p: (p >= q) & (p < q + F.col("width"))))
     # a word that only its place makes a name must be the same word
     other = F.filter(F.transform("fixed", lambda f, p: F.when(f & ~F.get("item_slots", p).eqNullSafe(F.get("doc_slots", p + F.col("shift"))), p)), lambda p: p.isNotNull())
-    aligned = aligned.withColumn("starts", _let(other, clear))
-    sound = aligned.withColumn("starts", _let(covered, lambda c: _let(_conflicts(c), clear)))
-    per = sound.select("id", "item", "variant", F.explode("starts").alias("start")).distinct().groupBy("id", "item", "variant").agg(F.count(F.lit(1)).alias("n"))
+    aligned = aligned.withColumn("starts", let(other, clear))
+    sound = aligned.withColumn("starts", let(covered, lambda c: let(_conflicts(c), clear)))
+    per = sound.select("id", "text_hash", "item", "variant", F.explode("starts").alias("start")).distinct().groupBy("id", "text_hash", "item", "variant").agg(F.count(F.lit(1)).alias("n"))
     per = per.join(totals, ["item", "variant"]).withColumn("coverage", F.col("n") / F.col("windows")).where(F.col("coverage") >= min_coverage)
-    return per.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("coverage").alias("coverage")).withColumnRenamed("id", id_col)
-
-
-def _let(value: Column, of: Callable[[Column], Column]) -> Column:
-    """``of(value)``, with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), of), F.lit(0))
+    return per.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("coverage").alias("coverage")).withColumnRenamed("id", id_col)
 
 
 def _conflicts(covered: Column) -> Column:
@@ -187,10 +185,10 @@ def _conflicts(covered: Column) -> Column:
     rank = lambda x: F.struct(x["n"], x["ours"] == x["theirs"], x["theirs"])
     pairs = F.array_distinct(F.transform(covered, lambda x: F.struct(x["ours"].alias("ours"), x["theirs"].alias("theirs"))))
     votes = F.transform(pairs, lambda x: F.struct(x["ours"].alias("ours"), x["theirs"].alias("theirs"), F.size(F.filter(covered, lambda y: same(x, y))).alias("n")))
-    mapped = _let(votes, lambda v: F.filter(v, lambda x: (x["ours"] == x["theirs"]) | ~F.exists(v, lambda y: (x["ours"] == y["ours"]) & (rank(y) > rank(x)))))
+    mapped = let(votes, lambda v: F.filter(v, lambda x: (x["ours"] == x["theirs"]) | ~F.exists(v, lambda y: (x["ours"] == y["ours"]) & (rank(y) > rank(x)))))
     merged = lambda x, v: F.startswith(x["ours"], F.lit("n:")) & F.exists(v, lambda y: (x["theirs"] == y["theirs"]) & (x["ours"] != y["ours"]))
-    fit = _let(mapped, lambda v: F.filter(v, lambda x: ~merged(x, v)))
-    return _let(fit, lambda v: F.transform(F.filter(covered, lambda x: ~F.exists(v, lambda y: same(x, y))), lambda x: x["at"]))
+    fit = let(mapped, lambda v: F.filter(v, lambda x: ~merged(x, v)))
+    return let(fit, lambda v: F.transform(F.filter(covered, lambda x: ~F.exists(v, lambda y: same(x, y))), lambda x: x["at"]))
 
 
 def _unioned(frames: list[DataFrame]) -> DataFrame:
@@ -200,15 +198,30 @@ def _unioned(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _findings(docs: DataFrame, benchmark: DataFrame, **parameters) -> tuple[DataFrame, DataFrame, Column]:
+    """The rows as structs, what is found under names of its own, and the condition that joins them."""
+    id_col, text_col = parameters.get("id_col", "doc_id"), parameters.get("text_col", "text")
+    hits = checkpointed(contaminated(docs, benchmark, **parameters)).withColumnsRenamed({id_col: "_hit", "text_hash": "_hash", "items": "_items", "coverage": "_coverage"})
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    fits = F.col(f"row.`{id_col}`").eqNullSafe(F.col("_hit")) & (F.xxhash64(F.col(f"row.`{text_col}`")) == F.col("_hash"))
+    return own, hits, fits
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """``(doc_id, contaminated, item_ids, coverage)``, one row per row of ``docs``.
 
     ``item_ids``: sorted ids of the item classes found (items of one template and slot pattern
-    are one class, named by its smallest id).  Null or empty text is clean; rows with a null id,
-    and rows that repeat an id, share the finding of that id; null items are ignored; other
-    columns are ignored; empty tables give an empty result or only clean rows.
+    are one class, named by its smallest id).  Null or empty text is clean; every row is judged by
+    its own text, also where its id is null or repeated; null items are ignored; other columns are
+    ignored; empty tables give an empty result or only clean rows.
     """
     id_col = parameters.get("id_col", "doc_id")
-    hits = checkpointed(contaminated(docs, benchmark, **parameters)).withColumnRenamed(id_col, "_hit")
-    out = docs.select(F.col(id_col).alias("id")).join(broadcast_if_small(hits, 200_000), F.col("id").eqNullSafe(F.col("_hit")), "left")
-    return out.select(F.col("id").alias(id_col), F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    own, hits, fits = _findings(docs, benchmark, **parameters)
+    out = own.join(broadcast_if_small(hits, 200_000), fits, "left")
+    return out.select(F.col(f"row.`{id_col}`").alias(id_col), F.col("_items").isNotNull().alias("contaminated"), F.coalesce("_items", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("_coverage", F.lit(0.0)).alias("coverage"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all their columns, whatever these are called."""
+    own, hits, fits = _findings(docs, benchmark, **parameters)
+    return own.join(broadcast_if_small(hits.select("_hit", "_hash")), fits, "left_anti").select("row.*")

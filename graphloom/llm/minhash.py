@@ -25,7 +25,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,8 @@ def least_estimate(registers: int) -> float:
 
 
 TILE = 512
+#: Pairs of one partner beyond which they are dealt over several tasks.
+HOT_PAIRS = 256
 BATCH_CHARS, BATCH_DOCS = 2 << 20, 2_048
 
 _IS_WORD = np.array([chr(b).isalnum() or b >= 0x80 for b in range(128)] + [True] * 128)
@@ -215,11 +217,11 @@ def weighted_jaccard(left: list[str], right: list[str]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", registers: int = REGISTERS) -> DataFrame:
-    """``(id, digest, size, bands, bytes)``: the signature of every whole text; nulls where it has no words."""
+    """``(id, text_hash, digest, size, bands, bytes)``: the signature of every whole text; nulls where it has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            ids, texts = batch.column(0), [t or "" for t in batch.column(2).to_pylist()]
             step = max(64, BATCH_DOCS * REGISTERS // registers)  # the same memory for signatures of any length
             for first in range(0, len(texts), step):
                 part = texts[first : first + step]
@@ -230,11 +232,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     none = np.array([d is None for d in digests])
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), pa.array(band.reshape(-1)), mask=pa.array(none))
                     size = np.bincount(doc, weight, n).astype(np.int64)
-                    columns = [ids.slice(first + lo, n), pa.array(digests, pa.binary()), pa.array(size), lists, pa.array([None if z else s.tobytes() for z, s in zip(none, small)], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "size", "bands", "bytes"])
+                    columns = [ids.slice(first + lo, n), batch.column(1).slice(first + lo, n), pa.array(digests, pa.binary()), pa.array(size), lists, pa.array([None if z else s.tobytes() for z, s in zip(none, small)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "digest", "size", "bands", "bytes"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, digest binary, size long, bands array<long>, bytes binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, text_hash long, digest binary, size long, bands array<long>, bytes binary")
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -242,10 +244,24 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(-1) - 1 / 256) / (1 - 1 / 256)
 
 
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs with a ``salt``, and the partners of so many pairs that they are dealt over several salts."""
+    hot = checkpointed(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HOT_PAIRS).cast("int").alias("salts")).where("salts > 1"))
+    dealt = pairs.join(broadcast_if_small(hot), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    return dealt, hot
+
+
+def _salted(side: DataFrame, hot: DataFrame) -> DataFrame:
+    """One row a salt of each row of ``side``, keyed by ``b``."""
+    out = side.join(broadcast_if_small(hot), "b", "left")
+    return out.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+
+
 def _estimates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """``(a, b, estimate)`` of the pairs whose sizes and signatures allow the threshold."""
+    pairs, hot = _dealt(checkpointed(pairs))
     side = lambda x: reps.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("bytes").alias(f"bytes_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    joined = pairs.join(side("a"), "a").join(_salted(side("b"), hot), ["b", "salt"])
     joined = joined.where(F.least("size_a", "size_b") >= (SIMILARITY - 1e-9) * F.greatest("size_a", "size_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,11 +273,19 @@ def _estimates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.select("a", "b", "bytes_a", "bytes_b").mapInArrow(run, "a long, b long, estimate double").where(F.col("estimate") >= least_estimate(REGISTERS))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that reach the threshold on the exact multisets.  Only texts that some pair needs are shuffled."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = texts.join(broadcast_if_small(need), "id", "left_semi")
-    joined = pairs.join(own.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(own.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
+def _texts(docs: DataFrame, need: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, text)`` of the classes in ``need``, by the text that stands for each: only such texts are shuffled."""
+    chosen = reps.select("id", "doc", "text_hash").join(need, "id", "left_semi")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
+    return rows.join(broadcast_if_small(chosen), ["doc", "text_hash"]).groupBy("id").agg(F.first("text").alias("text"))
+
+
+def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pairs that reach the threshold on the exact multisets."""
+    own = texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    pairs, hot = _dealt(pairs)
+    right = _salted(own.withColumnsRenamed({"id": "b", "text": "text_b"}), hot)
+    joined = pairs.join(own.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(right, ["b", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,31 +341,28 @@ def _tile_pairs(placed: DataFrame, reps: DataFrame, best_only: bool, registers:
     pairs = tiles.select((F.col("i") == F.col("j")).alias("same"), "members").mapInArrow(run, "a long, b long, estimate double")
     if best_only:
         pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", best_rounds: int = 1) -> DataFrame:
-    """``(doc_id, class_id, group_id, kept)``, one row per row of ``docs``.
+def _groups(docs: DataFrame, id_col: str, text_col: str, best_rounds: int) -> DataFrame:
+    """``(doc, text_hash, class_id, group_id, first)``, one row per row of ``docs``; ``first``: the row's text and id stand for its group.
 
-    ``class_id``: smallest id with the same words; ``group_id``: smallest id reachable over links
-    of weighted Jaccard >= 0.8; ``kept``: whether it is the group's own id.  A link at exactly 0.8
-    is a candidate with probability 0.9995, a higher one more surely.  Texts without words (null,
-    empty, signs only) are alone; rows with a null id have null class and group and are kept;
-    rows that repeat an id are one document of the graph.  Whole texts, no cap on buckets; other
-    columns are ignored; an empty table gives an empty result.
+    Classes (texts of the same words) have keys of their own, so texts that share an id are not one document.
     """
-    signed = checkpointed(signatures(docs, id_col, text_col))
-    classes = signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
-    classes = checkpointed(classes)
-    reps = classes.select("id", "size", "bytes").dropDuplicates(["id"])
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    signed = checkpointed(signatures(docs, id_col, text_col).withColumnRenamed("id", "doc"))
+    least = F.min(F.struct("doc", "text_hash")).alias("own")
+    classes = signed.where("digest is not null and doc is not null").groupBy("digest").agg(least, F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
+    # the checkpoint fixes the keys
+    classes = checkpointed(classes.select("digest", "own.doc", "own.text_hash", "size", "bands", "bytes", F.monotonically_increasing_id().alias("id")))
+    reps = classes.select("id", "doc", "text_hash", "size", "bytes")
+    texts = lambda need: _texts(docs, need, reps, id_col, text_col)
 
     banded = classes.select("id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1").select("bucket", "pivot")
     buckets = checkpointed(banded.join(shared, "bucket"))
     first = buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     first = _estimates(first, reps).groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
-    tried = checkpointed(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    tried = checkpointed(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     links = _verified(tried, texts)
     components = checkpointed(connected_components(links, "a", "b"))
     for best_only in [True] * best_rounds + [False]:
@@ -349,8 +370,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if best_only:
             pairs = _tile_pairs(placed, reps, True, REGISTERS)
         else:
-            left = placed.select("id").distinct()
-            fine = signatures(texts.join(broadcast_if_small(left), "id", "left_semi"), "id", "text", FINE_REGISTERS).dropDuplicates(["id"])
+            fine = signatures(texts(placed.select("id").distinct()), "id", "text", FINE_REGISTERS)
             pairs = _tile_pairs(placed, checkpointed(fine.select("id", "size", "bytes")), False, FINE_REGISTERS)
         more = checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
@@ -361,7 +381,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = components.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)
             components = checkpointed(connected_components(links, "a", "b"))
 
-    group = classes.select(F.col("digest").alias("_digest"), F.col("id").alias("class")).join(components.withColumnsRenamed({"id": "class", "component": "group"}), "class", "left")
-    out = signed.select("id", "digest").join(group, F.col("digest") == F.col("_digest"), "left")
-    class_id, group_id = F.coalesce("class", "id"), F.coalesce("group", "class", "id")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), class_id).alias("class_id"), F.when(F.col("id").isNotNull(), group_id).alias("group_id"), F.coalesce(F.col("id") == group_id, F.lit(True)).alias("kept"))
+    group = classes.select("digest", "doc", "text_hash", "id").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of = group.groupBy("component").agg(F.min(F.struct("doc", "text_hash")).alias("best"))
+    group = group.join(of, "component").select(F.col("digest").alias("_digest"), F.col("doc").alias("class_id"), "best")
+    out = signed.select("doc", "text_hash", "digest").join(group, F.col("digest") == F.col("_digest"), "left")
+    alone = F.col("doc").isNull() | F.col("best").isNull()
+    return out.select(
+        "doc",
+        "text_hash",
+        F.when(F.col("doc").isNotNull(), F.coalesce("class_id", "doc")).alias("class_id"),
+        F.when(F.col("doc").isNotNull(), F.coalesce("best.doc", "doc")).alias("group_id"),
+        (alone | ((F.col("best.doc") == F.col("doc")) & (F.col("best.text_hash") == F.col("text_hash")))).alias("first"),
+    )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", best_rounds: int = 1) -> DataFrame:
+    """``(doc_id, class_id, group_id, kept)``, one row per row of ``docs``.
+
+    ``class_id``: smallest id with the same words; ``group_id``: smallest id reachable over links
+    of weighted Jaccard >= 0.8; ``kept``: whether the row stands for its group.  A link at exactly
+    0.8 is a candidate with probability 0.9995, a higher one more surely.  Texts without words
+    (null, empty, signs only) are alone; rows with a null id have null class and group and are
+    kept.  Different texts under one id are documents of their own, linked by their texts alone;
+    equal rows that stand for a group are all marked as kept.  Whole texts, no cap on buckets;
+    other columns are ignored; an empty table gives an empty result.
+    """
+    out = _groups(docs, id_col, text_col, best_rounds)
+    return out.select(F.col("doc").alias(id_col), "class_id", "group_id", F.col("first").alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies, with all its columns: that of the smallest id, and of equal rows one.
+
+    Rows with a null id and rows without words all stay.
+    """
+    groups = checkpointed(_groups(docs, id_col, text_col, 1))
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    named = {"doc": "_doc", "text_hash": "_hash"}
+    fits = F.col(f"row.`{id_col}`").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(f"row.`{text_col}`")) == F.col("_hash"))
+    copies = groups.where(~F.col("first")).select("doc", "text_hash").distinct().withColumnsRenamed(named)
+    kept = own.join(broadcast_if_small(copies), fits, "left_anti")
+    again = checkpointed(groups.where("first and doc is not null").groupBy("doc", "text_hash").count().where("count > 1").drop("count").withColumnsRenamed(named))
+    if again.isEmpty():
+        return kept.select("row.*")
+    key = [F.col(f"row.`{id_col}`").alias("_id"), F.xxhash64(F.col(f"row.`{text_col}`")).alias("_hash")]
+    repeated = kept.join(broadcast_if_small(again), fits, "left_semi").select(*key, "row")
+    # equal in id and text, not always in other columns: the least by these stands
+    repeated = repeated.groupBy("_id", "_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.join(broadcast_if_small(again), fits, "left_anti").unionByName(repeated.select("row")).select("row.*")

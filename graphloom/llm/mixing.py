@@ -51,18 +51,12 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return per.select("source", "source_size", "n_rows", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)``, one row per row of ``docs``.
-
-    ``taken`` is the number of words that the mix takes of the row, repeats counted: whole epochs,
-    and in the last one what lies before the cut, so a source's sum is its target rounded down
-    (no row exceeds ``max_epochs`` times its size).  Null text has size 0 and takes 0; null source
-    is a source of its own, last in order; rows with a null or repeated id are rows of their own
-    (their key also hashes text); other columns are ignored; an empty table gives an empty result.
-    The key is ``md5`` of seed, id and text hash, so reruns agree.
-    """
+def _laid(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, carry: bool = False) -> DataFrame:
+    """``id, size, source_size, target, taken`` and, if they are to be carried, the rows of ``docs`` as structs."""
     text = F.col(text_col)
+    own = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []
     rows = docs.select(
+        *own,
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         (word_count(text) if size is None else size).alias("size"),
@@ -86,7 +80,30 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_epo
     left = budget - epochs * F.col("source_size")
     part = F.least(F.greatest(left - F.col("_start"), F.lit(0)), F.col("size"))
     out = laid.withColumn("_start", start)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return out.select(*(["row"] if carry else []), "id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, **parameters) -> DataFrame:
+    """``(doc_id, size, source_size, target, taken)``, one row per row of ``docs``.
+
+    ``taken`` is the number of words that the mix takes of the row, repeats counted: whole epochs,
+    and in the last one what lies before the cut, so a source's sum is its target rounded down
+    (no row exceeds ``max_epochs`` times its size).  Null text has size 0 and takes 0; null source
+    is a source of its own, last in order; rows with a null or repeated id are rows of their own
+    (the key of a null id hashes the text); other columns are ignored; an empty table gives an empty result.
+    The key is ``md5`` of seed, id and text hash, so reruns agree.
+    """
+    return _laid(docs, **parameters).withColumnRenamed("id", parameters.get("id_col", "doc_id"))
+
+
+def repeated(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns; a last partial take counts as one.
+
+    Each row is carried with its own take, so rows with null, repeated or equal ids are not joined
+    with each other's.  Rows of which nothing is taken go (those without words are such).
+    """
+    laid = _laid(docs, carry=True, **parameters).where("taken > 0")
+    return laid.select("row", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))).select("row.*")
 
 
 def per_is_small(per: DataFrame, limit: int = 100_000) -> bool:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,9 +80,15 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     return star.unionByName(roots)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows (for tables of one or two numbers a row); else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000, size: int = 64 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes; else as it is.
+
+    Rows of fixed width count by their columns, others by their length as JSON.
+    """
+    fixed = all(isinstance(f.dataType, (T.NumericType, T.BooleanType)) for f in df.schema)
+    length = F.lit(8 * len(df.columns)) if fixed else F.octet_length(F.to_json(F.struct(*df.columns)))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(length)).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
 def text_batches(texts: list, limit: int) -> Iterator[tuple[int, int]]:
@@ -94,3 +101,31 @@ def text_batches(texts: list, limit: int) -> Iterator[tuple[int, int]]:
         size += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def chunked(array: Column, size: int) -> Column:
+    """An array (a column or a lambda's variable) as an array of slices of ``size`` elements; an empty one has none."""
+    count = F.ceil(F.size(array) / size).cast("int")
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda c: F.slice(array, c * size + 1, F.lit(size))))
+
+
+def running(lengths: Column, size: int = 256) -> Column:
+    """Sums of the elements before each one, by slices: no step copies more than a slice or the list of slices."""
+
+    def of(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
+        before = let(totals, lambda t: F.transform(t, lambda _, c: F.aggregate(F.slice(t, F.lit(1), c), F.lit(0), lambda a, x: a + x)))
+        inside = lambda p, b: F.aggregate(
+            p,
+            F.struct(b.alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+            lambda a: a["out"],
+        )
+        return F.flatten(F.zip_with(parts, before, inside))
+
+    return F.coalesce(let(lengths, lambda n: let(chunked(n, size), of)), F.array().cast("array<int>"))
