@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from graphloom.llm import decontaminate as decontamination
 from graphloom.llm import minhash, mixing, sstable, toxicity
 from graphloom.llm.queries import table, vocabulary
-from graphloom.llm.shared import broadcast_if_small, scratch_path
+from graphloom.llm.shared import scratch_path
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.7; labels of fold 1 of 3 are not learnt from."""
+    """Documents whose toxicity score is below 0.7; labels of fold 1 of 3 are not learnt from.
+
+    Rows are judged one by one by their text; a null text counts as empty.
+    """
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     labels = table(spark, sf_dir, "labels").withColumn("_held", held_out)
     model = toxicity.fit(toxicity.sample(table(spark, sf_dir, "documents"), labels, ~F.col("_held")))
@@ -20,31 +23,26 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest id.  Rows with a null id stay."""
-    groups = minhash.near_duplicates(docs)
-    copies = groups.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(broadcast_if_small(copies), "doc_id", "left_anti")
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """One document of each near-duplicate group: that of the smallest id.
+
+    Rows with a null id or no words stay; different texts under one id are documents of their
+    own; of equal rows one stays.
+    """
+    return minhash.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    hits = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit"))
-    return docs.join(broadcast_if_small(hits), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    """Documents that hold no benchmark item, each judged by its own text; null and empty texts stay."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix to source weights takes it, a last partial take counting as one; takes of nothing go."""
-    shares = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    joined = docs.join(shares, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    return mixing.repeated(docs)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in sorted shard files, and what is read back from them."""
+    """Token ids in sorted shard files, and what is read back from them: a row a document, equal and null ids too."""
     return sstable.token_shards(docs, vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
