@@ -62,6 +62,53 @@ def pages(text) -> Column:
     return F.filter(parts, lambda p: p["text"] != "")
 
 
+def _joined(parts: Column, limit: int, glue: str) -> Column:
+    """Neighbours joined by ``glue`` while they hold at most ``limit`` bytes; a longer part stays whole."""
+    state = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
+
+    def step(a: Column, s: Column) -> Column:
+        new = (a["open"] != "") & (F.octet_length(a["open"]) + F.octet_length(s) + len(glue) > limit)
+        return F.struct(
+            F.when(new | (a["open"] == ""), s).otherwise(F.concat(a["open"], F.lit(glue), s)).alias("open"),
+            F.when(new, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]).alias("done"),
+        )
+
+    return F.aggregate(parts, state, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
+
+
+def long_sentences(text: Column) -> Column:
+    """Sentences of more than ten bytes: a shorter one stays with what follows; trimmed."""
+    parts = F.filter(F.split(text, r"(?<=[!?])|(?<=[.])(?<![0-9][.](?=[0-9]))", -1), lambda s: s != "")
+    state = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
+
+    def step(a: Column, s: Column) -> Column:
+        whole = F.concat(a["open"], s)
+        ends = F.rlike(s, F.lit(r"[.!?]\z")) & (F.octet_length(whole) > 10)
+        return F.struct(F.when(ends, "").otherwise(whole).alias("open"), F.when(ends, F.concat(a["done"], F.array(trimmed(whole)))).otherwise(a["done"]).alias("done"))
+
+    return F.aggregate(parts, state, step, lambda a: F.when(trimmed(a["open"]) == "", a["done"]).otherwise(F.concat(a["done"], F.array(trimmed(a["open"])))))
+
+
+def document_chunks(text, limit: int = 512) -> Column:
+    """Chunks of ``limit`` bytes: whole pages, else whole paragraphs, else sentences; nothing is joined over a page's end.
+
+    A paragraph above the limit is cut into sentences on its own; a longer sentence stays whole.
+    """
+    # runs of paragraphs that fit, and long paragraphs alone, in order
+    long = lambda p: F.octet_length(p) > limit
+    paragraphs = lambda page: F.filter(F.transform(F.split(page, "\n\n", -1), lambda p: trimmed(p)), lambda p: p != "")
+    state = F.struct(F.array().cast("array<string>").alias("run"), F.array().cast("array<string>").alias("done"))
+
+    def step(a: Column, p: Column) -> Column:
+        closed = F.concat(a["done"], _joined(a["run"], limit, "\n\n"))
+        return F.when(long(p), F.struct(F.array().cast("array<string>").alias("run"), F.concat(closed, _joined(long_sentences(p), limit, " ")).alias("done"))).otherwise(
+            F.struct(F.concat(a["run"], F.array(p)).alias("run"), a["done"].alias("done"))
+        )
+
+    of_page = lambda t: F.when(~long(t), F.array(t)).otherwise(F.aggregate(paragraphs(t), state, step, lambda a: F.concat(a["done"], _joined(a["run"], limit, "\n\n"))))
+    return F.flatten(F.transform(pages(text), lambda p: of_page(p["text"])))
+
+
 def stripped_html(text) -> Column:
     """Tags removed, then entities decoded in this order."""
     t = F.regexp_replace(_c(text), "<[^>]*>?", "")

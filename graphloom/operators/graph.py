@@ -19,14 +19,17 @@ def search(edges: DataFrame, seeds: DataFrame, hops: int, edge_filter: Column |
     """G1, many starts at once: ``(seed, node, depth)``, each node once per seed at its least depth, start included.
 
     ``edge_filter`` holds before each hop.  A frontier row is joined with distinct neighbours and
-    loses what its seed has seen; a hub's adjacency is split by the adaptive skew join.
+    loses what its seed has seen; a hub's adjacency is split by the adaptive skew join.  From two
+    hops on, links and frontiers are written, so that no hop computes the ones before it again.
     """
-    links = both_ways(edges if edge_filter is None else edges.where(edge_filter)).select("node", "neighbour").distinct()
+    kept = checkpointed if hops > 1 else lambda df: df
+    links = kept(both_ways(edges if edge_filter is None else edges.where(edge_filter)).select("node", "neighbour").distinct())
     seen = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct()
     frontier = seen
     for depth in range(1, hops + 1):
         reached = frontier.select("seed", "node").join(links, "node").select("seed", F.col("neighbour").alias("node")).distinct()
         frontier = reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        frontier = kept(frontier) if depth < hops else frontier
         seen = seen.unionByName(frontier)
     return seen
 
@@ -182,4 +185,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if moved.where("label <> _was").isEmpty():
             break
         labels = moved.select("id", "label")
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return labels.withColumnRenamed("label", "component")
+
+
+def event_nodes(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Event nodes of ``(id, content, timestamp, participants)`` and an edge of weight 1 from each to every participant.
+
+    ``participants``: array of ``struct<node_id, role>``; the role (Actor, Object, Location,
+    Companion) is the edge's type.  An event without participants is a node without edges.
+    """
+    nodes = events.select("id", "content", F.lit("Event").alias("node_type"), "timestamp")
+    edges = events.select(F.col("id").alias("source"), F.explode("participants").alias("p")).select("source", F.col("p.node_id").alias("target"), F.col("p.role").alias("edge_type"), F.lit(1.0).alias("weight"))
+    return nodes, edges

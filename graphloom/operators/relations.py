@@ -118,3 +118,26 @@ def greedy_spans(spans) -> Column:
         lambda kept, x: F.when(F.exists(kept, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"])), kept).otherwise(F.concat(kept, F.array(x))),
     )
     return F.array_sort(taken, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
+
+
+def parse_relations(rows: DataFrame, output: str = "output") -> DataFrame:
+    """The relations in a model's answer: what stands from the first ``[`` to the last ``]``, read as JSON.
+
+    Adds ``subject, predicate, object, confidence`` and gives a row a relation; elements whose
+    subject, predicate or object is no string are skipped, a confidence that is no number is 0.5,
+    and it is held within 0 and 1.  An answer without a readable array gives no row.
+    """
+    span = F.regexp_extract(F.col(output), r"(?s)\[.*\]", 0)
+    found = F.explode(F.try_variant_get(F.try_parse_json(F.when(span != "", span)), "$", "array<variant>")).alias("_r")
+    part = lambda name: F.try_variant_get("_r", f"$.{name}", "variant")
+    string = lambda name: F.when(F.schema_of_variant(part(name)) == "STRING", F.try_variant_get("_r", f"$.{name}", "string"))
+    number = F.when(F.schema_of_variant(part("confidence")).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.try_variant_get("_r", "$.confidence", "double"))
+    out = rows.select("*", found)
+    out = out.select(*rows.columns, *[string(n).alias(n) for n in ("subject", "predicate", "object")], F.least(F.greatest(F.coalesce(number, F.lit(0.5)), F.lit(0.0)), F.lit(1.0)).alias("confidence"))
+    return out.where("subject is not null and predicate is not null and object is not null")
+
+
+def with_fallback(first: DataFrame, other: DataFrame, key: str = "text_id") -> DataFrame:
+    """The relations of the first extractor, and those of the other for texts of which the first has none."""
+    rest = other.join(first.select(key).distinct(), key, "left_anti")
+    return first.unionByName(rest.select(*first.columns))

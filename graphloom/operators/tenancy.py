@@ -234,3 +234,26 @@ def content_items(items: DataFrame, include: list[str] = (), exclude: list[str]
     if authors:
         items = items.where(F.col("author").isin(*authors))
     return items if limit is None else items.orderBy(F.desc("created_at"), "source_id").limit(limit)
+
+
+def messages_with_entities(messages: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A4: ``messages`` with ``entities``: sorted distinct names of the entity nodes that a message is linked with, either way.
+
+    The links are narrowed to messages and entities before names are gathered, so a list holds one message's names.
+    """
+    ids = messages.select(F.col("id").alias("_m"))
+    ends = edges.select(F.col("source").alias("_m"), F.col("target").alias("_e")).unionByName(edges.select(F.col("target").alias("_m"), F.col("source").alias("_e"))).distinct()
+    entity = nodes.where("node_type = 'Entity'").select(F.col("id").alias("_e"), F.col("content").alias("_name"))
+    names = ends.join(ids, "_m", "left_semi").join(entity, "_e").groupBy("_m").agg(F.sort_array(F.collect_set("_name")).alias("entities"))
+    out = messages.join(names, F.col("id") == F.col("_m"), "left").drop("_m")
+    return out.withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
+
+
+def cost_page(costs: DataFrame, provider: str | None = None, model: str | None = None, start: int | None = None, end: int | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
+    """a page of cost rows, newest first, with the number and sum of all rows that pass the filters (ends inclusive)."""
+    kept = costs
+    for given, condition in ((provider, F.col("provider") == provider), (model, F.col("model") == model), (start, F.col("timestamp") >= start), (end, F.col("timestamp") <= end)):
+        if given is not None:
+            kept = kept.where(condition)
+    totals = kept.agg(F.count(F.lit(1)).alias("total_rows"), F.sum("cost").alias("total_cost"))  # one row
+    return kept.orderBy(F.desc("timestamp"), F.desc("id")).offset(offset).limit(limit).crossJoin(F.broadcast(totals))

@@ -24,24 +24,27 @@ def topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vec
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
-def _blocks(rows: DataFrame, id_col: str, vector_col: str, prefix: str, block_rows: int) -> DataFrame:
-    """One row per block of about ``block_rows`` vectors of one length."""
+def _blocks(rows: DataFrame, id_col: str, vector_col: str, prefix: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """One row per block of about ``block_rows`` vectors of one length, and how many blocks each length has."""
     v = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
     sized = v.withColumn("dim", F.size("v"))
     count = sized.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n"))  # one row a length
     dealt = sized.join(F.broadcast(count), "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")))
     packed = dealt.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias(f"{prefix}_rows"))
-    return packed.withColumnRenamed("block", f"{prefix}_block")
+    return packed.withColumnRenamed("block", f"{prefix}_block"), count
 
 
 def topk_many(queries: DataFrame, vectors: DataFrame, k: int, query_col: str = "query_id", id_col: str = "id", vector_col: str = "embedding", query_vector_col: str = "embedding", min_similarity: float | None = None, exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(query_id, id, score, rank)``, exact top-k of every query vector against all vectors.
 
     Queries and vectors are packed in blocks of bounded size; each pair of blocks is one matrix
-    product that keeps k rows a query.  So what moves is blocks, and the result of a block pair.
+    product that keeps k rows a query.  The vectors move once; a block of queries is sent to each
+    of their blocks, so the key of a task is a block and no length gathers in one task.
     """
-    left, right = _blocks(queries, query_col, query_vector_col, "q", block_rows), _blocks(vectors, id_col, vector_col, "v", block_rows)
-    pairs = left.join(right, "dim").select("q_rows", "v_rows")
+    left, _ = _blocks(queries, query_col, query_vector_col, "q", block_rows)
+    right, count = _blocks(vectors, id_col, vector_col, "v", block_rows)
+    sent = left.join(F.broadcast(count), "dim").select("dim", "q_rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("v_block"))
+    pairs = right.join(sent, ["dim", "v_block"]).select("q_rows", "v_rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

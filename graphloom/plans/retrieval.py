@@ -28,14 +28,21 @@ class Retrieval:
     path_rewards: bool = True
 
 
-def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, plan: Retrieval = Retrieval()) -> DataFrame:
+def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, plan: Retrieval = Retrieval(), entity_seeds: DataFrame | None = None) -> DataFrame:
     """Ranked memories for every query ``(query_id, embedding)``: ``query_id, id, score, rank`` and the parts of the score.
 
     Vector seeds, one-pass expansion of all queries' seeds, similarity as the best seed's times
     the decay (Q3, Q4), namespace after expansion, centrality, recency, mindset and the best path
     to a seed of the same query, then the top rows.
+
+    ``entity_seeds`` ``(query_id, id)`` are nodes that a recogniser found in the query (U1): they
+    join the vector seeds, with a similarity of 0.5 where no vector search found them.  A column
+    ``confidence`` of ``nodes`` serves the mindset (C18); without it, or where it is null, it is 0.5.
     """
     seeds = vectors.topk_many(queries, embeddings, plan.seeds, min_similarity=plan.min_similarity if plan.min_similarity > 0 else None).select("query_id", "id", "score")
+    if entity_seeds is not None:
+        extra = entity_seeds.select("query_id", "id").distinct().join(seeds, ["query_id", "id"], "left_anti")
+        seeds = seeds.unionByName(extra.withColumn("score", F.lit(0.5)))
     reached = graph.neighbours(edges, seeds.select("id").distinct(), plan.hops)
     near = seeds.join(reached, F.col("id") == F.col("seed")).select("query_id", F.col("node").alias("id"), (F.col("score") * plan.decay).alias("score"))
     found = seeds.withColumn("seed_", F.lit(1)).unionByName(near.withColumn("seed_", F.lit(0))).groupBy("query_id", "id").agg(F.max("seed_").alias("is_seed"), F.max_by("score", F.struct("seed_", "score")).alias("similarity"))
@@ -47,7 +54,8 @@ def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, embeddings:
     most = found.groupBy("query_id").agg(F.max("degree").alias("most"))
     found = found.join(most, "query_id").withColumn("centrality", F.col("degree") / F.col("most"))
     found = found.withColumn("recency", scoring.recency("timestamp", plan.now, plan.half_life))
-    mind = mindset.score(plan.mindset, F.lit(0.5), F.col("recency"), 1 - F.col("similarity"), F.col("centrality")) if plan.mindset else F.lit(0.0)
+    sure = F.coalesce(F.col("confidence").cast("double"), F.lit(0.5)) if "confidence" in nodes.columns else F.lit(0.5)
+    mind = mindset.score(plan.mindset, sure, F.col("recency"), 1 - F.col("similarity"), F.col("centrality")) if plan.mindset else F.lit(0.0)
     if plan.path_rewards:
         starts = seeds.select("id").distinct()
         paths = graph.paths_from(edges, starts, plan.path_hops, found.select("id")).withColumn("path_id", F.xxhash64("nodes", "types"))

@@ -670,3 +670,76 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = v.select("id", F.concat(F.lit("memory "), F.col("id").cast("string")).alias("content"), F.lit("Entity").alias("node_type"), (F.lit(NOW) - F.col("id") * 3600).alias("timestamp"), F.lit("default").alias("namespace"))
     edges = knn_edges(spark, sf_dir).select("source", "target", F.lit("RelatesTo").alias("edge_type"), "weight")
     return retrieval.retrieve(asked(spark, sf_dir), nodes, edges, v, retrieval.Retrieval(seeds=10, now=NOW, mindset="Convergent"))
+
+
+# --- exports, model answers, events, pages of rows ---------------------------------------------
+
+
+@query(f"""WITH {NODES}, {EDGES}, m AS (SELECT o_orderkey * 8 + 5 AS id, o_custkey AS conversation_id FROM orders WHERE o_orderkey % 20 = 0),
+ends AS (SELECT source AS m, target AS e FROM edges UNION SELECT target, source FROM edges),
+names AS (SELECT ends.m, string_agg(DISTINCT content, '; ' ORDER BY content) AS entities FROM ends JOIN m ON m.id = ends.m JOIN nodes n ON n.id = ends.e WHERE node_type = 'Entity' GROUP BY ends.m)
+SELECT id, conversation_id, coalesce(entities, '') AS entities FROM m LEFT JOIN names ON names.m = m.id""")
+def messages_with_entities(spark, sf_dir):
+    """A4: orders as messages, and what they are linked with."""
+    messages = tables.load(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select((F.col("o_orderkey") * 8 + 5).alias("id"), F.col("o_custkey").alias("conversation_id"))
+    out = tenancy.messages_with_entities(messages, tables.edges(spark, sf_dir), tables.nodes(spark, sf_dir))
+    return out.select("id", "conversation_id", F.array_join("entities", "; ").alias("entities"))
+
+
+@query("""WITH c AS (SELECT event_id AS id, floor(epoch(ts))::BIGINT AS timestamp, value AS cost FROM events WHERE event_type = 'purchase' AND user_id % 3 = 1 AND floor(epoch(ts))::BIGINT BETWEEN 1704200000 AND 1706000000)
+SELECT id, timestamp, round(cost, 6) AS cost, (SELECT count(*) FROM c) AS total_rows, round((SELECT sum(cost) FROM c), 4) AS total_cost FROM c ORDER BY timestamp DESC, id DESC LIMIT 20 OFFSET 10""")
+def cost_page(spark, sf_dir):
+    """The second page of one provider's and one model's rows, totals over all of them."""
+    e = tables.load(spark, sf_dir, "events")
+    costs = e.select(F.col("event_id").alias("id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long").alias("timestamp"), F.col("event_type").alias("provider"), (F.col("user_id") % 3).cast("string").alias("model"), F.col("value").alias("cost"))
+    out = tenancy.cost_page(costs, "purchase", "1", 1_704_200_000, 1_706_000_000, 10, 20)
+    return out.select("id", "timestamp", F.round("cost", 6).alias("cost"), "total_rows", F.round("total_cost", 4).alias("total_cost"))
+
+
+@query("""SELECT o_orderkey * 8 + 5 AS source, o_custkey * 8 + 2 AS target, 'Actor' AS edge_type, 1.0::DOUBLE AS weight FROM orders
+UNION ALL SELECT l_orderkey * 8 + 5, l_partkey * 8 + 4, 'Object', 1.0 FROM lineitem UNION ALL SELECT l_orderkey * 8 + 5, l_suppkey * 8 + 3, 'Companion', 1.0 FROM lineitem""")
+def event_edges(spark, sf_dir):
+    """Orders as events, with customer, parts and suppliers in their roles."""
+    who = lambda node, role: F.struct(node.alias("node_id"), F.lit(role).alias("role"))
+    o, li = tables.load(spark, sf_dir, "orders"), tables.load(spark, sf_dir, "lineitem")
+    lines = li.groupBy("l_orderkey").agg(F.flatten(F.collect_list(F.array(who(F.col("l_partkey") * 8 + 4, "Object"), who(F.col("l_suppkey") * 8 + 3, "Companion")))).alias("lines"))
+    events = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    participants = F.concat(F.array(who(F.col("o_custkey") * 8 + 2, "Actor")), F.coalesce("lines", F.array().cast("array<struct<node_id:bigint,role:string>>")))
+    return graph.event_nodes(events.select((F.col("o_orderkey") * 8 + 5).alias("id"), F.col("o_comment").alias("content") if "o_comment" in o.columns else F.lit("").alias("content"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("timestamp"), participants.alias("participants")))[1]
+
+
+@query("""SELECT event_id AS text_id, 'user ' || user_id AS subject, event_type AS predicate, CASE WHEN event_id % 3 = 0 THEN least(greatest(round(value, 2) / 100, 0), 1) WHEN event_id % 3 = 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM events WHERE event_id % 7 <> 0""")
+def parse_relations(spark, sf_dir):
+    """Answers with words around the array, without a confidence, above 1, and some that are no JSON."""
+    e = tables.load(spark, sf_dir, "events")
+    body = F.concat(F.lit('[{"subject": "user '), F.col("user_id"), F.lit('", "predicate": "'), F.col("event_type"), F.lit('", "object": "x"'))
+    sure = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(', "confidence": '), (F.round("value", 2) / 100).cast("string"))).when(F.col("event_id") % 3 == 1, "").otherwise(', "confidence": 7')
+    end = F.when(F.col("event_id") % 7 == 0, "}, oops]").otherwise('}, {"subject": 5, "predicate": "p", "object": "o"}]')
+    rows = e.select(F.col("event_id").alias("text_id"), F.concat(F.lit("Sure: "), body, sure, end, F.lit(" done")).alias("output"))
+    return relations.parse_relations(rows).select("text_id", "subject", "predicate", "confidence")
+
+
+@query("""SELECT conv_id AS id, CASE conv_id % 4 WHEN 0 THEN 'envelope' WHEN 1 THEN 'sessions' WHEN 2 THEN 'session' END AS form, CASE WHEN conv_id % 4 < 3 THEN n END AS messages FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)""")
+def parse_sessions(spark, sf_dir):
+    """Exports in the three forms that are known, and in one that is not."""
+    from graphloom.sources import interop
+
+    c = tables.load(spark, sf_dir, "conversations")
+    per = c.groupBy("conv_id").agg(F.collect_list(F.struct("role", F.col("text").alias("content"))).alias("messages"))
+    session = F.to_json(F.struct(F.col("conv_id").cast("string").alias("session_id"), "messages"))
+    wrap = lambda a, b: F.concat(F.lit(a), session, F.lit(b))
+    value = F.when(F.col("conv_id") % 4 == 0, wrap('{"sessions": [', "]}")).when(F.col("conv_id") % 4 == 1, wrap("[", "]")).when(F.col("conv_id") % 4 == 2, session).otherwise('{"other": 1}')
+    out = interop.parse_sessions(per.select(F.struct("conv_id", value.alias("value")).alias("r")).select("r.*"))
+    count = F.aggregate("sessions", F.lit(0), lambda a, s: a + F.size(s["messages"])).cast("long")
+    # exports carry no id of their own: the session's, where there is one
+    return out.where("form is not null").select(F.col("sessions")[0]["session_id"].cast("long").alias("id"), "form", count.alias("messages"))
+
+
+ORACLES["parse_sessions"] = "SELECT * FROM (" + ORACLES["parse_sessions"] + ") WHERE form IS NOT NULL"
+
+
+@query()
+def document_chunks(spark, sf_dir):
+    """Pages, then paragraphs, then sentences of all documents (tested against a plain loop)."""
+    docs = tables.load(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id"), F.posexplode(tx.document_chunks("text", 512)).alias("chunk_index", "content"))

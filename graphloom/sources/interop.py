@@ -114,3 +114,49 @@ def write_lines(rows: DataFrame, path: str) -> None:
 def read_lines(spark: SparkSession, path: str, schema) -> DataFrame:
     """S19/S20."""
     return spark.read.schema(schema).json(path)
+
+
+_MESSAGE = "struct<uuid:string,role:string,role_type:string,content:string,created_at:string>"
+_SESSION = f"struct<session_id:string,id:string,user_id:string,created_at:string,messages:array<{_MESSAGE}>>"
+_ENTITY = "struct<uuid:string,name:string,summary:string,created_at:string>"
+_EPISODE = "struct<uuid:string,name:string,content:string,created_at:string>"
+_EDGE = "struct<uuid:string,source_node_uuid:string,target_node_uuid:string,name:string,fact:string,created_at:string,valid_at:string,invalid_at:string,expired_at:string>"
+_FACT = "struct<uuid:string,fact:string,rating:double,created_at:string>"
+ENVELOPE = f"struct<entities:array<{_ENTITY}>,episodes:array<{_EPISODE}>,edges:array<{_EDGE}>,sessions:array<{_SESSION}>,facts:array<{_FACT}>>"
+
+
+def parse_sessions(raw: DataFrame, column: str = "value") -> DataFrame:
+    """A temporal-graph export as ``form, entities, episodes, edges, sessions, facts``, one row per row of ``raw``.
+
+    The first form that fits: an envelope with any of its lists, a bare array of sessions, one
+    session (an id or messages).  ``form`` is null, and so are the lists, where none fits.
+    """
+    v = F.ltrim(F.col(column))
+    array = v.startswith("[")
+    whole = F.when(~array, F.from_json(v, ENVELOPE))
+    listed = F.when(array, F.from_json(v, f"array<{_SESSION}>"))
+    single = F.when(~array, F.from_json(v, _SESSION))
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    rows = raw.select(whole.alias("w"), listed.alias("l"), single.alias("s"))
+    fits = F.col("w.entities").isNotNull() | F.col("w.sessions").isNotNull() | F.col("w.facts").isNotNull() | some(F.col("w.episodes")) | some(F.col("w.edges"))
+    one = F.col("s.session_id").isNotNull() | F.col("s.id").isNotNull() | some(F.col("s.messages"))
+    form = F.when(F.coalesce(fits, F.lit(False)), "envelope").when(F.col("l").isNotNull(), "sessions").when(F.coalesce(one, F.lit(False)), "session")
+    rows = rows.withColumn("form", form)
+    sessions = F.when(F.col("form") == "envelope", F.col("w.sessions")).when(F.col("form") == "sessions", F.col("l")).when(F.col("form") == "session", F.array("s"))
+    rest = [F.when(F.col("form") == "envelope", F.col(f"w.{c}")).alias(c) for c in ("entities", "episodes", "edges")]
+    return rows.select("form", *rest, sessions.alias("sessions"), F.when(F.col("form") == "envelope", F.col("w.facts")).alias("facts"))
+
+
+def evidence_sessions(questions: DataFrame, turns: DataFrame) -> DataFrame:
+    """``(query_id, session_id)``: the sessions of a question's evidence turns; unknown turns are skipped."""
+    asked = questions.select("query_id", F.explode("evidence").alias("doc_id"))
+    return asked.join(turns.select("doc_id", "session_id"), "doc_id").select("query_id", "session_id").distinct()
+
+
+def scalar(json: Column) -> Column:
+    """``struct<kind, text>`` of a JSON value: String, Integer, Float or Bool; all else as a String of its JSON."""
+    v = F.try_parse_json(json)
+    kind = F.schema_of_variant(v)
+    # a decimal without a fraction is no integer of 64 bits
+    name = F.when(kind == "STRING", "String").when(kind == "BIGINT", "Integer").when(kind == "BOOLEAN", "Bool").when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), "Float").otherwise("String")
+    return F.when(v.isNotNull(), F.struct(name.alias("kind"), F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.trim(json)).alias("text")))

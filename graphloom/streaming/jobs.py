@@ -24,18 +24,33 @@ def sync(stream: DataFrame, into: Callable[[DataFrame, int], None], checkpoint:
     return stream.writeStream.foreachBatch(into).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _versions(spark, path: str) -> list[int]:
+    """Numbers of the versions that were written to their end."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath() for s in fs.listStatus(folder)]
+    whole = [p.getName() for p in names if p.getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in whole)
+
+
 def upserting(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A batch function that keeps the last write per key: versions alternate between two folders, so a failed write leaves the old one."""
+    """A batch function that keeps the last write per key.
+
+    Each batch writes a folder ``version=<number>`` from the last complete one before it, so a failed
+    write leaves the old one and a batch that is run again gives the same.  If there is none, though
+    it is not the first batch, rows would be lost: that is an error.
+    """
 
     def into(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = f"{path}/version={number}"
-        try:
-            old = spark.read.parquet(f"{path}/version={number - 1}") if number else None
-        except Exception as error:  # the first batch of a restarted stream
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            old = None
+        before = [v for v in _versions(spark, path) if v < number]
+        if number and not before:
+            raise RuntimeError(f"no complete version before {number} in {path}")
+        old = spark.read.parquet(f"{path}/version={max(before)}") if before else None
         last = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.col("seq")).alias("r")).select("r.*")
         (last if old is None else graph.upsert(old, last, keys)).write.mode("overwrite").parquet(new)
 
