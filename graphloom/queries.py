@@ -132,50 +132,51 @@ def fuse_scores(spark, sf_dir):
 
 # --- graph -------------------------------------------------------------------------------------
 
-BOTH = "links AS (SELECT source AS node, target AS neighbour FROM places UNION SELECT target, source FROM places)"
-REACH = f"""{NODES}, {PLACES}, {BOTH}, start AS ({SEEDS} AND id % 8 <= 3),
+BOTH = "links AS (SELECT source AS node, target AS neighbour FROM edges UNION SELECT target, source FROM edges)"
+REACH = f"""{NODES}, {EDGES}, {BOTH}, start AS ({SEEDS}),
   one AS (SELECT DISTINCT s.id AS seed, neighbour AS node FROM start s JOIN links b ON b.node = s.id),
   two AS (SELECT DISTINCT o.seed, b.neighbour AS node FROM one o JOIN links b ON b.node = o.node),
   reach AS (SELECT id AS seed, id AS node, 0 AS depth FROM start UNION ALL SELECT seed, node, 1 FROM one UNION ALL SELECT seed, node, 2 FROM two),
   least AS (SELECT seed, node, min(depth)::INT AS depth FROM reach GROUP BY ALL)"""
 
 
-def places_and_seeds(spark, sf_dir):
-    return tables.places(spark, sf_dir), seeds_of(tables.nodes(spark, sf_dir).where("id % 8 <= 3"))
+def edges_and_seeds(spark, sf_dir):
+    """All edges, and every twentieth node of each kind."""
+    return tables.edges(spark, sf_dir), seeds_of(tables.nodes(spark, sf_dir))
 
 
 @query(f"WITH {REACH} SELECT seed, node, depth FROM least WHERE depth = 1")
 def neighbors_1hop(spark, sf_dir):
     """G1."""
-    return graph.neighbours(*places_and_seeds(spark, sf_dir), 1)
+    return graph.neighbours(*edges_and_seeds(spark, sf_dir), 1)
 
 
 @query(f"WITH {REACH} SELECT seed, node, depth FROM least WHERE depth > 0")
 def neighbors_2hop(spark, sf_dir):
     """G1."""
-    return graph.neighbours(*places_and_seeds(spark, sf_dir), 2)
+    return graph.neighbours(*edges_and_seeds(spark, sf_dir), 2)
 
 
 @query(f"WITH {REACH} SELECT seed, node, depth, content FROM least l JOIN nodes n ON n.id = l.node WHERE node_type = 'Entity' AND namespace <> 'building'")
 def traverse(spark, sf_dir):
     """The start included, the filter on what is returned."""
-    edges, seeds = places_and_seeds(spark, sf_dir)
+    edges, seeds = edges_and_seeds(spark, sf_dir)
     return graph.traverse(tables.nodes(spark, sf_dir), edges, seeds, 2, (F.col("node_type") == "Entity") & (F.col("namespace") != "building")).select("seed", "node", "depth", "content")
 
 
-LOCATED = REACH.replace("FROM places UNION SELECT target, source FROM places", "FROM places WHERE edge_type = 'Location' UNION SELECT target, source FROM places WHERE edge_type = 'Location'")
+LOCATED = REACH.replace(BOTH, "links AS (SELECT source AS node, target AS neighbour FROM edges WHERE edge_type IN ('Actor', 'Location') UNION SELECT target, source FROM edges WHERE edge_type IN ('Actor', 'Location'))")
 
 
 @query(f"WITH {LOCATED} SELECT seed, node, depth FROM least WHERE depth > 0")
 def neighbors_edge_filter(spark, sf_dir):
     """F2 (Q1): the edge predicate holds before each hop."""
-    return graph.neighbours(*places_and_seeds(spark, sf_dir), 2, F.col("edge_type") == "Location")
+    return graph.neighbours(*edges_and_seeds(spark, sf_dir), 2, F.col("edge_type").isin("Actor", "Location"))
 
 
 @query(f"WITH {REACH} SELECT node AS id, round(max((seed % 97) / 97.0 * pow(0.5, depth)), 9) AS score FROM least GROUP BY node")
 def hybrid_decay(spark, sf_dir):
     """Seeds scored by their id."""
-    edges, seeds = places_and_seeds(spark, sf_dir)
+    edges, seeds = edges_and_seeds(spark, sf_dir)
     scored = seeds.withColumn("score", (F.col("id") % 97) / 97.0)
     return graph.hybrid(edges, scored, 2, 0.5).select("id", F.round("score", 9).alias("score"))
 
