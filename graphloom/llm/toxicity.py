@@ -79,14 +79,19 @@ def features(found: list[str], distance: Distance) -> list[float]:
 
 
 def fit(rows: list[tuple[str, int]]) -> dict:
-    """A model from labelled texts (the bounded sample).  Without both classes it scores the share of label 1."""
-    toxic = [t for t, y in rows if y]
-    share = len(toxic) / len(rows) if rows else 0.0
-    if not toxic or len(toxic) == len(rows):
+    """A model from labelled texts (the bounded sample).
+
+    With fewer than three rows of a class none is left to calibrate on: every score is the share of label 1.
+    """
+    toxic = sum(1 for _, y in rows if y)
+    share = toxic / len(rows) if rows else 0.0
+    if min(toxic, len(rows) - toxic) < 3:
         return {"share": share}
-    # two thirds make the dictionaries, the rest calibrates; small samples serve for both
-    split = len(toxic) >= 150
-    own = [i % 3 != 2 or not split for i in range(len(rows))]
+    # of each class two rows of three make the dictionaries, the third calibrates
+    seen, own = [0, 0], []
+    for _, y in rows:
+        own.append(seen[y] % 3 != 2)
+        seen[y] += 1
     in_toxic, in_ordinary, n = Counter(), Counter(), [0, 0]
     found = [windows(t) for t, _ in rows]
     for w, (_, y), learn in zip(found, rows, own):
@@ -98,7 +103,7 @@ def fit(rows: list[tuple[str, int]]) -> dict:
     plain = sorted((w for w, k in in_ordinary.items() if k >= min(3, n[0])), key=lambda w: (in_ordinary[w], w))[-ORDINARY_WINDOWS:]
     model = {"share": share, "ordinary": b"".join(map(_wrap, plain)), "toxic": b"".join(map(_wrap, bad))}
     distance = Distance(model["ordinary"], model["toxic"])
-    use = [i for i in range(len(rows)) if not (split and own[i])]
+    use = [i for i in range(len(rows)) if not own[i]]
     x = np.array([features(found[i], distance) for i in use])
     y = np.array([rows[i][1] for i in use], float)
     mean, scale = x.mean(0), x.std(0) + 1e-9
@@ -118,9 +123,10 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxi
     """A bounded sample of labelled texts: the rows of each class that come first by a hash of the id.
 
     At most ``max_toxic`` + ``max_ordinary`` rows and, taken in that order, ``MAX_SAMPLE_CHARS``
-    characters.  Rows whose label or text is null are no training rows.
+    characters.  Rows whose label or text is null, and ids with both labels, are no training rows.
     """
-    marked = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & learn).dropDuplicates(["_id"])
+    marked = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & learn)
+    marked = marked.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_most")).where("_y = _most").drop("_most")
     order = [F.xxhash64("_id"), F.col("_id")]
     chosen = marked.where("_y = 1").orderBy(*order).limit(max_toxic).unionByName(marked.where("_y = 0").orderBy(*order).limit(max_ordinary))
     # at most max_toxic + max_ordinary narrow rows
@@ -172,7 +178,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
 
     ``held_out`` is an expression over ``id_col``.  Null ids are carried (``held_out`` false),
     repeated rows each give a row, other columns are ignored, an empty table gives an empty
-    result; without labels of both classes every score is the share of label 1.
+    result; without three learnt rows of each label every score is the share of label 1.
     """
     model = fit(sample(docs, labels.withColumn("_held", held_out), ~F.col("_held"), id_col=id_col, text_col=text_col, **sizes))
     scored = score_rows(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col)), model, text_col)
