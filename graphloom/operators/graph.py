@@ -100,17 +100,23 @@ def paths_from(edges: DataFrame, starts: DataFrame, max_hops: int, goals: DataFr
     """Simple paths from many starts at once, every prefix a path to its last node; ``goals`` limits what is returned.
 
     One expansion serves all (start, goal) pairs, so no pair of nodes is enumerated beforehand.
+    Each hop is written before the next one; the last hop, the largest, only takes edges into a goal.
     """
     links = both_ways(edges).select(F.col("node").alias("_at"), "neighbour", "edge_type")
+    ends = None if goals is None else goals.select(F.col("id").alias("neighbour")).distinct()
+    if max_hops > 1:
+        links, ends = checkpointed(links), None if ends is None else checkpointed(ends)
     grown = starts.select(F.col("id").alias("start"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("types")).distinct()
     found = None
-    for _ in range(max_hops):
-        grown = grown.withColumn("_at", F.element_at("nodes", -1)).join(links, "_at").where(~F.array_contains("nodes", F.col("neighbour")))
+    for hop in range(1, max_hops + 1):
+        onward = links if ends is None or hop < max_hops else links.join(ends, "neighbour", "left_semi")
+        grown = grown.withColumn("_at", F.element_at("nodes", -1)).join(onward, "_at").where(~F.array_contains("nodes", F.col("neighbour")))
         grown = grown.select("start", F.concat("nodes", F.array("neighbour")).alias("nodes"), F.concat("types", F.array("edge_type")).alias("types"))
+        grown = checkpointed(grown) if hop < max_hops else grown
         found = grown if found is None else found.unionByName(grown)
     found = found.withColumn("goal", F.element_at("nodes", -1)).withColumn("hops", F.size("types"))
-    if goals is not None:
-        found = found.join(goals.select(F.col("id").alias("goal")).distinct(), "goal", "left_semi")
+    if ends is not None:
+        found = found.join(ends.select(F.col("neighbour").alias("goal")), "goal", "left_semi")
     if max_paths is None:
         return found
     rank = F.row_number().over(Window.partitionBy("start", "goal").orderBy("hops", "nodes", "types"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
 from graphloom.operators import communities, graph, mindset, relations, reward, scoring, vectors
+from graphloom.storage import checkpointed
 
 
 @dataclass(frozen=True)
@@ -23,32 +24,39 @@ class Retrieval:
     now: int = 0
     half_life: int = scoring.HALF_LIFE
     mindset: str | None = None
-    path_hops: int = 2
+    path_hops: int = 3
+    members: int = 20
+    member_similarity: float = 0.1
     namespace: str | None = None
     path_rewards: bool = True
 
 
-def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, plan: Retrieval = Retrieval(), entity_seeds: DataFrame | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, plan: Retrieval = Retrieval(), entity_seeds: DataFrame | None = None, placed: DataFrame | None = None) -> DataFrame:
     """Ranked memories for every query ``(query_id, embedding)``: ``query_id, id, score, rank`` and the parts of the score.
 
     Vector seeds, one-pass expansion of all queries' seeds, similarity as the best seed's times
-    the decay (Q3, Q4), namespace after expansion, centrality, recency, mindset and the best path
-    to a seed of the same query, then the top rows.
+    the decay (Q3, Q4), namespace after expansion, members of the seeds' communities, centrality,
+    recency, mindset and the best path to a seed of the same query, then the top rows.
 
     ``entity_seeds`` ``(query_id, id)`` are nodes that a recogniser found in the query (U1): they
-    join the vector seeds, with a similarity of 0.5 where no vector search found them.  A column
-    ``confidence`` of ``nodes`` serves the mindset (C18); without it, or where it is null, it is 0.5.
+    join the vector seeds, with a similarity of 0.5 where no vector search found them.  ``placed``
+    ``(node_id, community_id)``: of the seeds' communities the ``members`` least ids that are not
+    found yet compete too, at ``member_similarity`` (J18).  A column ``confidence`` of ``nodes``
+    serves the mindset (C18); without it, or where it is null, it is 0.5.
     """
     seeds = vectors.topk_many(queries, embeddings, plan.seeds, min_similarity=plan.min_similarity if plan.min_similarity > 0 else None).select("query_id", "id", "score")
     if entity_seeds is not None:
         extra = entity_seeds.select("query_id", "id").distinct().join(seeds, ["query_id", "id"], "left_anti")
         seeds = seeds.unionByName(extra.withColumn("score", F.lit(0.5)))
+    seeds = checkpointed(seeds)
     reached = graph.neighbours(edges, seeds.select("id").distinct(), plan.hops)
     near = seeds.join(reached, F.col("id") == F.col("seed")).select("query_id", F.col("node").alias("id"), (F.col("score") * plan.decay).alias("score"))
     found = seeds.withColumn("seed_", F.lit(1)).unionByName(near.withColumn("seed_", F.lit(0))).groupBy("query_id", "id").agg(F.max("seed_").alias("is_seed"), F.max_by("score", F.struct("seed_", "score")).alias("similarity"))
-    found = found.join(nodes, "id")
-    if plan.namespace is not None:
-        found = found.where(F.coalesce("namespace", F.lit("default")) == plan.namespace)
+    inside = nodes if plan.namespace is None else nodes.where(F.coalesce("namespace", F.lit("default")) == plan.namespace)
+    found = checkpointed(found.join(inside.select("id"), "id", "left_semi"))
+    if placed is not None:
+        found = found.unionByName(_community_members(seeds, found, placed, plan).join(inside.select("id"), "id", "left_semi"))
+    found = found.join(inside, "id")
     degree = graph.both_ways(edges).groupBy(F.col("node").alias("id")).agg(F.countDistinct("neighbour").alias("degree"))
     found = found.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(1)))
     most = found.groupBy("query_id").agg(F.max("degree").alias("most"))
@@ -70,6 +78,15 @@ def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, embeddings:
     return scored.withColumn("rank", rank).where(F.col("rank") <= plan.top_k).select("query_id", "id", "content", "similarity", "centrality", "recency", "path_reward", "score", "rank")
 
 
+def _community_members(seeds: DataFrame, found: DataFrame, placed: DataFrame, plan: Retrieval) -> DataFrame:
+    """Rows like ``found`` for the ``plan.members`` least ids of the seeds' communities that a query has not found."""
+    own = seeds.select("query_id", F.col("id").alias("node_id")).join(placed, "node_id").select("query_id", "community_id").distinct()
+    extra = own.join(placed, "community_id").select("query_id", F.col("node_id").alias("id")).join(found, ["query_id", "id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
+    first = extra.withColumn("_rank", rank).where(F.col("_rank") <= plan.members)
+    return first.select("query_id", "id", F.lit(0).alias("is_seed"), F.lit(plan.member_similarity).alias("similarity"))
+
+
 def context(ranked: DataFrame) -> DataFrame:
     """Per query the numbered lines of its ranked memories."""
     line = F.format_string("%d. [%.2f] %s", F.col("rank"), F.col("score"), F.col("content"))

@@ -12,6 +12,7 @@ from graphloom.functions import vector
 from graphloom.operators import communities, evaluation, facts, graph, mindset, relations, reward, scoring, tenancy, training, vectors
 from graphloom.plans import retrieval
 from graphloom.sources import tables
+from graphloom.storage import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -666,11 +667,11 @@ def retrieve(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked memories of every twentieth vector over a nearest-neighbour graph of all vectors."""
+    """Ranked memories of every twentieth vector over a nearest-neighbour graph of all vectors and its communities."""
     v = vectors_of(spark, sf_dir)
     nodes = v.select("id", F.concat(F.lit("memory "), F.col("id").cast("string")).alias("content"), F.lit("Entity").alias("node_type"), (F.lit(NOW) - F.col("id") * 3600).alias("timestamp"), F.lit("default").alias("namespace"))
-    edges = knn_edges(spark, sf_dir).select("source", "target", F.lit("RelatesTo").alias("edge_type"), "weight")
-    return retrieval.retrieve(asked(spark, sf_dir), nodes, edges, v, retrieval.Retrieval(seeds=10, now=NOW, mindset="Convergent"))
+    edges = checkpointed(knn_edges(spark, sf_dir).select("source", "target", F.lit("RelatesTo").alias("edge_type"), "weight"))
+    return retrieval.retrieve(asked(spark, sf_dir), nodes, edges, v, retrieval.Retrieval(now=NOW, mindset="Convergent"), placed=communities.label_propagation(edges))
 
 
 # --- exports, model answers, events, pages of rows ---------------------------------------------
