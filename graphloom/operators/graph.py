@@ -97,26 +97,30 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4, max_path
 
 
 def paths_from(edges: DataFrame, starts: DataFrame, max_hops: int, goals: DataFrame | None = None, max_paths: int | None = 10) -> DataFrame:
-    """Simple paths from many starts at once, every prefix a path to its last node; ``goals`` limits what is returned.
+    """Simple paths from many starts at once, every prefix a path to its last node: ``(start, goal, nodes, types, degrees, hops)``.
 
+    ``goals`` limits what is returned: ``(id)``, or ``(start, id)`` where each start has its own.
     One expansion serves all (start, goal) pairs, so no pair of nodes is enumerated beforehand.
-    Each hop is written before the next one; the last hop, the largest, only takes edges into a goal.
+    Each hop is written before the next one; the last hop, the largest, only takes edges into a
+    goal.  ``degrees``: those of all nodes but the start, carried along for path scores.
     """
-    links = both_ways(edges).select(F.col("node").alias("_at"), "neighbour", "edge_type")
-    ends = None if goals is None else goals.select(F.col("id").alias("neighbour")).distinct()
+    per_start = goals is not None and "start" in goals.columns
+    degree = degrees(edges).select(F.col("id").alias("neighbour"), "degree")
+    links = both_ways(edges).select(F.col("node").alias("_at"), "neighbour", "edge_type").join(degree, "neighbour")
+    wanted = None if goals is None else goals.select(*(["start"] if per_start else []), F.col("id").alias("goal")).distinct()
     if max_hops > 1:
-        links, ends = checkpointed(links), None if ends is None else checkpointed(ends)
-    grown = starts.select(F.col("id").alias("start"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("types")).distinct()
+        links, wanted = checkpointed(links), None if wanted is None else checkpointed(wanted)
+    grown = starts.select(F.col("id").alias("start"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("types"), F.array().cast("array<long>").alias("degrees")).distinct()
     found = None
     for hop in range(1, max_hops + 1):
-        onward = links if ends is None or hop < max_hops else links.join(ends, "neighbour", "left_semi")
+        onward = links if wanted is None or hop < max_hops else links.join(wanted.select(F.col("goal").alias("neighbour")), "neighbour", "left_semi")
         grown = grown.withColumn("_at", F.element_at("nodes", -1)).join(onward, "_at").where(~F.array_contains("nodes", F.col("neighbour")))
-        grown = grown.select("start", F.concat("nodes", F.array("neighbour")).alias("nodes"), F.concat("types", F.array("edge_type")).alias("types"))
+        grown = grown.select("start", *[F.concat(whole, F.array(last)).alias(whole) for whole, last in (("nodes", "neighbour"), ("types", "edge_type"), ("degrees", "degree"))])
         grown = checkpointed(grown) if hop < max_hops else grown
         found = grown if found is None else found.unionByName(grown)
     found = found.withColumn("goal", F.element_at("nodes", -1)).withColumn("hops", F.size("types"))
-    if ends is not None:
-        found = found.join(ends.select(F.col("neighbour").alias("goal")), "goal", "left_semi")
+    if wanted is not None:
+        found = found.join(wanted, ["start", "goal"] if per_start else ["goal"], "left_semi")
     if max_paths is None:
         return found
     rank = F.row_number().over(Window.partitionBy("start", "goal").orderBy("hops", "nodes", "types"))

@@ -31,7 +31,14 @@ def reward(hops, coherent, central, decay: float = DECAY, coherence_weight: floa
 
 
 def with_centrality(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """G9 (Q6): mean degree of a path's inner nodes over the largest degree among them; 0.5 for two nodes or fewer."""
+    """G9 (Q6): mean degree of a path's inner nodes over the largest degree among them; 0.5 for two nodes or fewer.
+
+    Paths that carry ``degrees`` (as ``paths_from`` gives) need no join.
+    """
+    if "degrees" in paths.columns:
+        inside = F.slice("degrees", F.lit(1), F.greatest(F.size("degrees") - 1, F.lit(0)))
+        mean = F.aggregate(inside, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(inside)
+        return paths.withColumn("centrality", F.when(F.size(inside) > 0, mean / F.array_max(inside)).otherwise(0.5))
     inner = paths.select("path_id", F.explode(F.slice("nodes", F.lit(2), F.greatest(F.size("nodes") - 2, F.lit(0)))).alias("id"))
     scored = inner.join(graph.degrees(edges), "id").groupBy("path_id").agg((F.avg("degree") / F.max("degree")).alias("_central"))
     return paths.join(scored, "path_id", "left").withColumn("centrality", F.coalesce("_central", F.lit(0.5))).drop("_central")
@@ -45,7 +52,7 @@ def score_paths(paths: DataFrame, edges: DataFrame, **weights) -> DataFrame:
 
 def best_rewards(edges: DataFrame, seeds: DataFrame, candidates: DataFrame, max_hops: int = 3, max_paths: int = 10) -> DataFrame:
     """C19 (Q5): ``(id, path_reward)``: the best path of a candidate to any seed; a seed itself has 1.0."""
-    paths = graph.paths_from(edges, seeds, max_hops, candidates, max_paths).withColumn("path_id", F.xxhash64("nodes", "types"))
+    paths = graph.paths_from(edges, seeds, max_hops, candidates, max_paths)
     best = score_paths(paths, edges).groupBy(F.col("goal").alias("id")).agg(F.max("reward").alias("path_reward"))
     own = seeds.select("id", F.lit(1.0).alias("_own")).distinct()
     return candidates.select("id").distinct().join(best, "id", "left").join(own, "id", "left").select("id", F.coalesce("_own", "path_reward", F.lit(0.0)).alias("path_reward"))

@@ -66,7 +66,9 @@ def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, embeddings:
     mind = mindset.score(plan.mindset, sure, F.col("recency"), 1 - F.col("similarity"), F.col("centrality")) if plan.mindset else F.lit(0.0)
     if plan.path_rewards:
         starts = seeds.select("id").distinct()
-        paths = graph.paths_from(edges, starts, plan.path_hops, found.select("id")).withColumn("path_id", F.xxhash64("nodes", "types"))
+        # a seed has its reward already: paths only lead to the other candidates of the start's queries
+        goals = seeds.select("query_id", F.col("id").alias("start")).join(found.where("is_seed = 0").select("query_id", "id"), "query_id").select("start", "id")
+        paths = graph.paths_from(edges, starts, plan.path_hops, goals)
         best = reward.score_paths(paths, edges).groupBy("start", "goal").agg(F.max("reward").alias("reward"))
         per = seeds.select("query_id", F.col("id").alias("start")).join(best, "start").groupBy("query_id", F.col("goal").alias("id")).agg(F.max("reward").alias("_reward"))
         found = found.join(per, ["query_id", "id"], "left").withColumn("path_reward", F.when(F.col("is_seed") == 1, 1.0).otherwise(F.coalesce("_reward", F.lit(0.0))))
