@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, in ``spark.checkpoint.dir``; a temporary folder only in local mode without that setting."""
+    """``df`` written as a table in ``spark.checkpoint.dir`` and read back; a temporary folder only in local mode without that setting.
+
+    A written table has the size of its files.  ``checkpoint()`` keeps the estimate of the plan it
+    cuts, a product over its joins, whose digits multiply from round to round of a loop.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir", None)
@@ -17,4 +22,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
