@@ -59,3 +59,15 @@ def provider_stats(calls: DataFrame, last: int = 1_000) -> DataFrame:
     """Success share (1.0 for none) and mean latency over the last ``last`` calls of each provider (a limit that is the feature)."""
     place = F.row_number().over(Window.partitionBy("provider").orderBy(F.desc("timestamp"), F.desc("id")))
     return calls.withColumn("_n", place).where(F.col("_n") <= last).groupBy("provider").agg(F.coalesce(F.avg(F.when(F.col("ok"), 1.0).otherwise(0.0)), F.lit(1.0)).alias("success"), F.avg("latency").alias("mean_latency"), F.count(F.lit(1)).alias("samples"))
+
+
+def histogram(rows: DataFrame, series: str, value: str, buckets: int = 13, least: float = 0.001, factor: float = 2.5) -> DataFrame:
+    """``(series, le, observations)``: how many values of a series are at most each bound ``least * factor^i``.
+
+    Counted once per bucket before the shuffle and summed over the ``buckets`` bounds afterwards;
+    null values and values above the last bound are in no bucket.
+    """
+    bounds = [least * factor**i for i in range(buckets)]
+    per = rows.groupBy(F.col(series).alias("series")).agg(*[F.count_if(F.col(value) <= b).alias(f"_{i}") for i, b in enumerate(bounds)])
+    pairs = F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"_{i}").alias("observations")) for i, b in enumerate(bounds)])
+    return per.select("series", F.explode(pairs).alias("b")).select("series", "b.le", "b.observations")

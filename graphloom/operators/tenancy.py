@@ -111,6 +111,11 @@ def expired(nodes: DataFrame, now: int, default_ttl: int, policies: DataFrame |
     return out.drop("_ns", "_ttl")
 
 
+def swept(nodes: DataFrame, edges: DataFrame, now: int, default_ttl: int, policies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without the expired nodes (F13) and their edges."""
+    return graph.delete_nodes(nodes, edges, expired(nodes, now, default_ttl, policies))
+
+
 def forget_report(nodes: DataFrame, edges: DataFrame, subject: Column) -> DataFrame:
     """One row: counts of what a subject's removal takes and the namespaces concerned."""
     gone = nodes.where(subject)
