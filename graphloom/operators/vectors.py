@@ -1,4 +1,4 @@
-"""Vector search (V1, V5, V6, J16), fusion (V8, V9, J11) and score limits."""
+"""Vector search (V1, V6, J16), in cells (V5), fusion (V8, V9, J11) and score limits."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from graphloom.functions import vector
 
 BLOCK_ROWS = 1_024
+#: Most rows that the cells of the approximate search are learnt from.
+FIT_ROWS = 50_000
 
 
 def topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vector_col: str = "embedding", min_similarity: float | None = None) -> DataFrame:
@@ -24,27 +26,26 @@ def topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vec
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
-def _blocks(rows: DataFrame, id_col: str, vector_col: str, prefix: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """One row per block of about ``block_rows`` vectors of one length, and how many blocks each length has."""
-    v = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
-    sized = v.withColumn("dim", F.size("v"))
-    count = sized.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n"))  # one row a length
-    dealt = sized.join(F.broadcast(count), "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")))
-    packed = dealt.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias(f"{prefix}_rows"))
-    return packed.withColumnRenamed("block", f"{prefix}_block"), count
+def _rows(rows: DataFrame, id_col: str, vector_col: str, *extra: str) -> DataFrame:
+    """``id, v, dim`` in double precision; rows without a vector are left out."""
+    v = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), *extra)
+    return v.withColumn("dim", F.size("v"))
 
 
-def topk_many(queries: DataFrame, vectors: DataFrame, k: int, query_col: str = "query_id", id_col: str = "id", vector_col: str = "embedding", query_vector_col: str = "embedding", min_similarity: float | None = None, exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(query_id, id, score, rank)``, exact top-k of every query vector against all vectors.
+def _blocks(v: DataFrame, keys: list[str], prefix: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """One row per block of about ``block_rows`` vectors of one key, and how many blocks each key has."""
+    count = v.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n"))  # one row a length, or a length and cell
+    dealt = v.join(F.broadcast(count), keys).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")))
+    packed = dealt.groupBy(*keys, "block").agg(F.collect_list(F.struct("id", "v")).alias(f"{prefix}_rows"))
+    return packed.withColumnRenamed("block", f"{prefix}_block"), count
 
-    Queries and vectors are packed in blocks of bounded size; each pair of blocks is one matrix
-    product that keeps k rows a query.  The vectors move once; a block of queries is sent to each
-    of their blocks, so the key of a task is a block and no length gathers in one task.
-    """
-    left, _ = _blocks(queries, query_col, query_vector_col, "q", block_rows)
-    right, count = _blocks(vectors, id_col, vector_col, "v", block_rows)
-    sent = left.join(F.broadcast(count), "dim").select("dim", "q_rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("v_block"))
-    pairs = right.join(sent, ["dim", "v_block"]).select("q_rows", "v_rows")
+
+def _block_topk(queries: DataFrame, vectors: DataFrame, keys: list[str], k: int, query_col: str, id_col: str, min_similarity: float | None, exclude_self: bool, block_rows: int) -> DataFrame:
+    """Top-k over pairs of blocks of equal keys: a matrix product a pair, k rows a query from each."""
+    left, _ = _blocks(queries, keys, "q", block_rows)
+    right, count = _blocks(vectors, keys, "v", block_rows)
+    sent = left.join(F.broadcast(count), keys).select(*keys, "q_rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("v_block"))
+    pairs = right.join(sent, [*keys, "v_block"]).select("q_rows", "v_rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,6 +72,55 @@ def topk_many(queries: DataFrame, vectors: DataFrame, k: int, query_col: str = "
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def topk_many(queries: DataFrame, vectors: DataFrame, k: int, query_col: str = "query_id", id_col: str = "id", vector_col: str = "embedding", query_vector_col: str = "embedding", min_similarity: float | None = None, exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(query_id, id, score, rank)``, exact top-k of every query vector against all vectors.
+
+    Queries and vectors are packed in blocks of bounded size; each pair of blocks is one matrix
+    product that keeps k rows a query.  The vectors move once; a block of queries is sent to each
+    of their blocks, so the key of a task is a block and no length gathers in one task.
+    """
+    return _block_topk(_rows(queries, query_col, query_vector_col), _rows(vectors, id_col, vector_col), ["dim"], k, query_col, id_col, min_similarity, exclude_self, block_rows)
+
+
+def fit_cells(vectors: DataFrame, cells: int, fit_rows: int = FIT_ROWS, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """V5: ``(cell, centre)``: unit centres of spherical k-means, learnt from at most ``fit_rows`` rows by hash of their id.
+
+    Null and zero vectors and vectors with non-finite components are not learnt from, nor are
+    lengths other than the most frequent one.  No vectors give no cells.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    clean = _rows(vectors, id_col, vector_col).where(F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
+    common = clean.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
+    schema = "cell long, centre array<double>"
+    if common is None:
+        return vectors.sparkSession.createDataFrame([], schema)
+    sample = clean.where(F.col("dim") == common["dim"]).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    model = KMeans(k=max(2, cells), seed=42, distanceMeasure="cosine", maxIter=12).fit(sample.select(array_to_vector("v").alias("features")))
+    centres = [c / max(float(np.linalg.norm(c)), 1e-300) for c in model.clusterCenters()]
+    return vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], schema)
+
+
+def celled(vectors: DataFrame, cells: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """V5: the index: every vector ``(id, embedding, cell)`` with the nearest cell; write it partitioned by cell to keep it.
+
+    A vector of another length than the centres' has no cell and is not in the index.
+    """
+    home = topk_many(vectors, cells, 1, id_col, "cell", "centre", vector_col).select(id_col, "cell")
+    return vectors.where(F.col(vector_col).isNotNull()).select(id_col, vector_col).join(home, id_col)
+
+
+def topk_cells(queries: DataFrame, index: DataFrame, cells: DataFrame, k: int, probes: int, query_col: str = "query_id", id_col: str = "id", vector_col: str = "embedding", query_vector_col: str = "embedding", min_similarity: float | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """V5: approximate top-k: each query meets the vectors of its ``probes`` nearest cells only; the scores are exact.
+
+    A cell is cut into blocks as in ``topk_many``, so a hot cell is no single task.
+    """
+    near = topk_many(queries, cells, probes, query_col, "cell", "centre", query_vector_col).select(query_col, "cell")
+    asked = queries.join(near, query_col)
+    return _block_topk(_rows(asked, query_col, query_vector_col, "cell"), _rows(index, id_col, vector_col, "cell"), ["dim", "cell"], k, query_col, id_col, min_similarity, False, block_rows)
+
+
 def fuse(text: DataFrame, visual: DataFrame, text_weight: float, visual_weight: float, k: int | None = None) -> DataFrame:
     """Full outer merge of two result sets ``(id, score)``; a missing side scores 0."""
     t, v = F.coalesce("text_score", F.lit(0.0)), F.coalesce("visual_score", F.lit(0.0))

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
-from graphloom.operators import communities, evaluation, graph, relations, tenancy, training
-from graphloom.queries import DAYS, EDGES, MESSAGES, NODES, NOW, query
+from graphloom.operators import communities, evaluation, graph, relations, tenancy, training, vectors
+from graphloom.queries import DAYS, EDGES, MESSAGES, NODES, NOW, asked, query, vectors_of
 from graphloom.sources import connectors, generate, interop, tables
+from graphloom.storage import checkpointed
 
 # --- scans, lookups, writes --------------------------------------------------------------------
 
@@ -439,3 +440,13 @@ def changed_communities(spark, sf_dir):
 def synthetic_shapes(spark, sf_dir):
     """A tree and a chain."""
     return generate.tree(spark, 3, 5_000).unionByName(generate.chain(spark, 1_000))
+
+
+@query()
+def ann_topk(spark, sf_dir):
+    """V5: ten near vectors of every twentieth one, from two thirds of about sqrt(n) cells: these vectors hardly cluster (recall 0.95 or more against J16, held by a test)."""
+    v = vectors_of(spark, sf_dir).select("id", "embedding")
+    n = max(4, round(v.count() ** 0.5))
+    cells = vectors.fit_cells(v, n)
+    index = checkpointed(vectors.celled(v, cells))
+    return vectors.topk_cells(asked(spark, sf_dir), index, cells, 10, -(-2 * n // 3)).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
