@@ -101,6 +101,18 @@ def view(nodes: DataFrame, edges: DataFrame, limit: int, node_type: str | None =
     return picked, graph.induced(edges, picked)
 
 
+def graph_items(nodes: DataFrame, communities: DataFrame) -> DataFrame:
+    """nodes as a graph view shows them: ``id, content, node_type, timestamp, community_id``, the last null without a community."""
+    placed = communities.select(F.col("node_id").alias("id"), "community_id")
+    return nodes.select("id", "content", "node_type", "timestamp").join(placed, "id", "left")
+
+
+def search_items(found: DataFrame, nodes: DataFrame, name: str | None = None) -> DataFrame:
+    """search results ``(query_id, id, score, ...)`` as a search shows them, with content and type, of one namespace if given."""
+    shown = nodes if name is None else in_namespace(nodes, name)
+    return found.join(shown.select("id", "content", "node_type"), "id")
+
+
 def expired(nodes: DataFrame, now: int, default_ttl: int, policies: DataFrame | None = None) -> DataFrame:
     """nodes older than their namespace's ttl, else the default; ttl 0 keeps; no time stamp keeps."""
     ttl = F.lit(default_ttl)

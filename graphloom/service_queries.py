@@ -91,6 +91,21 @@ def graph_view(spark, sf_dir):
     return tenancy.view(tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir), 200, "entity", "default")[1]
 
 
+@query(f"WITH {NODES} SELECT n.id, content, node_type, timestamp, c_nationkey::BIGINT AS community_id FROM nodes n LEFT JOIN customer ON n.id = c_custkey * 8 + 2")
+def graph_items(spark, sf_dir):
+    """all nodes as a graph view shows them; customers form communities by nation."""
+    groups = nation_groups(spark, sf_dir).withColumn("node_id", F.col("node_id") * 8 + 2)
+    return tenancy.graph_items(tables.nodes(spark, sf_dir), groups)
+
+
+@query(f"WITH {NODES}, f AS (SELECT user_id AS query_id, (event_id % 2000) * 8 + 5 AS id, max(value) AS score FROM events GROUP BY ALL) SELECT query_id, id, round(score, 6) AS score, content, node_type FROM f JOIN nodes USING (id) WHERE namespace = '1-urgent'")
+def search_items(spark, sf_dir):
+    """results of searches with content and type, of one namespace."""
+    e = tables.load(spark, sf_dir, "events")
+    found = e.groupBy(F.col("user_id").alias("query_id"), ((F.col("event_id") % 2000) * 8 + 5).alias("id")).agg(F.round(F.max("value"), 6).alias("score"))
+    return tenancy.search_items(found, tables.nodes(spark, sf_dir), "1-urgent").select("query_id", "id", "score", "content", "node_type")
+
+
 @query("SELECT event_id AS id, floor(epoch(ts))::BIGINT AS timestamp FROM events ORDER BY timestamp DESC, id DESC LIMIT 500")
 def newest_audit(spark, sf_dir):
     """The newest 500 audit rows (the limit is the feature)."""
