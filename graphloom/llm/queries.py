@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, embedding_dedup, licenses, minhash, mixing, pii, quality, sstable, token_counts, toxicity
+from graphloom.llm import bundles, decontaminate, drake, embedding_dedup, licenses, minhash, mixing, pii, quality, spelling, sstable, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5, 0), threshold=0.3)
 
 
+def op11_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest of 16 centroids after three rounds, for every vector of 64 sound components."""
+    return drake.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64).drop("scanned")
+
+
+def op12_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from seekable archives."""
+    return bundles.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words' count, its form and its root."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
@@ -107,6 +122,78 @@ SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, min
 FROM embeddings e JOIN reach r ON r.root = e.vec_id GROUP BY e.vec_id
 """
 
+
+
+def _cluster_sql(rounds: int = 3) -> str:
+    sql = """
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda v: floor(64 * v::DOUBLE)::BIGINT) AS x, sha256('1:' || vec_id::VARCHAR) AS h
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS c, x FROM kept QUALIFY c < 16)"""
+    for i in range(rounds + 1):
+        sql += f""",
+a{i} AS MATERIALIZED (
+  SELECT r, min({{'d': list_sum(list_transform(list_zip(k.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'c': c.c}}) AS m
+  FROM kept k, c{i} c GROUP BY r)"""
+        if i < rounds:
+            sql += f""",
+s{i} AS (SELECT m.c AS c, i, sum(x[i])::HUGEINT AS s, count(*) AS n FROM a{i} JOIN kept USING (r), range(1, 65) t(i) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(u.x, c.x) AS x FROM c{i} c
+  LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{i} GROUP BY c) u ON u.c = c.c)"""
+    return sql + f"""
+SELECT vec_id, m.c::INT AS cluster, m.d AS distance, sum(m.d) OVER (PARTITION BY m.c)::BIGINT AS cluster_inertia,
+       sum(m.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} c ON c.c = m.c
+"""
+
+
+CLUSTER_SQL = _cluster_sql()
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
+SELECT page_id, octet_length(encode(p.html))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f ON f.html = p.html
+"""
+
+SPELLING_SQL = """
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]{5,}')) AS run FROM documents),
+counted AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS key, run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT key, run, n, hex(encode(key)) AS x FROM counted),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+      list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM bytes, crc_table),
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING sum(n) >= 3 AND length(word) >= 5),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS rest FROM words, range(1, length(word) + 1) t(i)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM cuts a JOIN cuts b ON a.i = b.i AND a.head = b.head AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN words w ON w.word = c.head || c.rest
+  UNION SELECT w.word, c.word FROM cuts c JOIN words w ON w.word = c.head || c.rest),
+best AS (
+  SELECT a AS word, count(*) AS n_near, min({'m': -w.n, 'w': encode(w.word)}) AS m FROM pairs p JOIN words w ON w.word = p.b GROUP BY a),
+formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN -b.m.m >= 2 * w.n THEN decode(b.m.w) END AS form, CASE WHEN -b.m.m >= 2 * w.n THEN -b.m.m END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+walk AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT k.word, f.form FROM walk k JOIN formed f ON f.word = k.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.form, r.at AS root, f.n_near, f.form_n
+FROM formed f JOIN walk r ON r.word = f.word JOIN formed e ON e.word = r.at AND e.form IS NULL
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
@@ -118,6 +205,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_quality": op10_quality,
+    "op11_drake_clusters": op11_drake_clusters,
+    "op12_warc_bundles": op12_warc_bundles,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLES: dict[str, str] = {"op2_mix_sources": MIX_SQL, "op9_embedding_dedup": LINK_SQL}
+ORACLES: dict[str, str] = {"op2_mix_sources": MIX_SQL, "op9_embedding_dedup": LINK_SQL, "op11_drake_clusters": CLUSTER_SQL, "op12_warc_bundles": WARC_SQL, "op13_spelling_variants": SPELLING_SQL}
