@@ -166,7 +166,7 @@ def test_variants_by_brute_force(spark):
     rng = np.random.default_rng(4)
     base = ["colour", "color", "colours", "Größe", "größen", "straße", "éclair", "eclair", "receive", "recieve", "receives"]
     rows = [(None, None), (1, ""), (2, "Color COLOR color"), (None, "colour " * 5), (3, "a" * 50_000 + " " + "tail word " * 3)]
-    rows += [(4, "colouur " * 3), (4, "colouur " * 3), (5, "Àbcde àbcde Àbcde Àbcde")]
+    rows += [(4, "colouur " * 3), (4, "colouur " * 3), (5, "Àbcde àbcde Àbcde Àbcde"), (6, "abcdef " * 4 + "abcdeg " * 9 + "abcheg " * 20)]
     for i in range(10, 120):
         picked = [base[int(k)] for k in np.minimum(rng.geometric(0.3, 30) - 1, len(base) - 1)]
         for _ in range(2):
