@@ -19,13 +19,27 @@ def conflicts(facts: DataFrame, first_only: bool = False) -> DataFrame:
     columns = ["id", "object", "source_confidence", "timestamp", "state"]
     old = facts.where("state = 'Accepted'").select("subject", "predicate", *[F.col(c).alias(f"old_{c}") for c in columns])
     new = facts.select("subject", "predicate", *[F.col(c).alias(f"new_{c}") for c in columns])
+    if first_only:
+        old = _first_two(old)
     later = (F.col("new_timestamp") > F.col("old_timestamp")) | ((F.col("new_timestamp") == F.col("old_timestamp")) & (F.col("new_id") > F.col("old_id")))
-    pairs = old.join(new, ["subject", "predicate"]).where(later & (F.col("old_object") != F.col("new_object")))
     if not first_only:
-        return pairs
-    rest = [c for c in pairs.columns if c != "new_id"]
-    firsts = pairs.groupBy("new_id").agg(F.min_by(F.struct(*rest), F.struct("old_timestamp", "old_id")).alias("f"))
-    return firsts.select("f.*", "new_id").select(*pairs.columns)
+        return old.join(new, ["subject", "predicate"]).where(later & (F.col("old_object") != F.col("new_object")))
+    pairs = old.join(new, ["subject", "predicate"])
+    pairs = pairs.withColumn("old", F.when(F.col("first.old_object") != F.col("new_object"), F.col("first")).otherwise(F.col("second")))
+    return pairs.select("subject", "predicate", "old.*", *[f"new_{c}" for c in columns]).where(later & (F.col("old_object") != F.col("new_object")))
+
+
+def _first_two(old: DataFrame) -> DataFrame:
+    """One row per subject and predicate: its earliest fact ``first``, and ``second``, the earliest of another object.
+
+    One of them is the earliest fact with another object than any given one, so no pairs are made.
+    """
+    keys, rows = ["subject", "predicate"], [c for c in old.columns if c.startswith("old_")]
+    sound = old.where("old_object is not null and old_timestamp is not null")
+    per = sound.groupBy(*keys, F.col("old_object").alias("_object")).agg(F.min(F.struct("old_timestamp", "old_id", F.struct(*rows).alias("row"))).alias("e"))
+    first = per.groupBy(*keys).agg(F.min("e").alias("first"))
+    second = per.join(first, keys).where(F.col("e.row.old_object") != F.col("first.row.old_object")).groupBy(*keys).agg(F.min("e").alias("second"))
+    return first.join(second, keys, "left").select(*keys, F.col("first.row").alias("first"), F.col("second.row").alias("second"))
 
 
 def resolution(seconds: int = TEMPORAL_SECONDS, gap: float = CONFIDENCE_GAP) -> Column:

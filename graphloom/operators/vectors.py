@@ -32,19 +32,19 @@ def _rows(rows: DataFrame, id_col: str, vector_col: str, *extra: str) -> DataFra
     return v.withColumn("dim", F.size("v"))
 
 
-def _blocks(v: DataFrame, keys: list[str], prefix: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
+def blocks(v: DataFrame, keys: list[str], prefix: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """One row per block of about ``block_rows`` vectors of one key, and how many blocks each key has."""
     count = v.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n"))  # one row a length, or a length and cell
-    dealt = v.join(F.broadcast(count), keys).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")))
+    dealt = v.join(count, keys).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")))
     packed = dealt.groupBy(*keys, "block").agg(F.collect_list(F.struct("id", "v")).alias(f"{prefix}_rows"))
     return packed.withColumnRenamed("block", f"{prefix}_block"), count
 
 
 def _block_topk(queries: DataFrame, vectors: DataFrame, keys: list[str], k: int, query_col: str, id_col: str, min_similarity: float | None, exclude_self: bool, block_rows: int) -> DataFrame:
     """Top-k over pairs of blocks of equal keys: a matrix product a pair, k rows a query from each."""
-    left, _ = _blocks(queries, keys, "q", block_rows)
-    right, count = _blocks(vectors, keys, "v", block_rows)
-    sent = left.join(F.broadcast(count), keys).select(*keys, "q_rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("v_block"))
+    left, _ = blocks(queries, keys, "q", block_rows)
+    right, count = blocks(vectors, keys, "v", block_rows)
+    sent = left.join(count, keys).select(*keys, "q_rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("v_block"))
     pairs = right.join(sent, [*keys, "v_block"]).select("q_rows", "v_rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
-from graphloom.operators import communities, evaluation, graph, relations, tenancy, training, vectors
+from graphloom.operators import codes, communities, evaluation, graph, relations, tenancy, training, vectors
 from graphloom.queries import DAYS, EDGES, MESSAGES, NODES, NOW, asked, query, vectors_of
 from graphloom.sources import connectors, generate, interop, tables
 from graphloom.storage import checkpointed
@@ -465,3 +465,33 @@ def ann_topk(spark, sf_dir):
     cells = vectors.fit_cells(v, n)
     index = checkpointed(vectors.celled(v, cells))
     return vectors.topk_cells(asked(spark, sf_dir), index, cells, 10, -(-2 * n // 3)).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def coded_search(spark, sf_dir, k: int = 10) -> tuple[DataFrame, DataFrame, int]:
+    """Near vectors of every twentieth one by product codes: the result, the candidates and the number of vectors."""
+    v = vectors_of(spark, sf_dir).select("id", "embedding")
+    n = v.count()
+    cells = max(4, round(n**0.5))
+    book = codes.fit(v, cells)
+    index = checkpointed(codes.coded(v, book))
+    probes, rerank = -(-2 * cells // 3), max(k, n // 20)
+    found = codes.topk(asked(spark, sf_dir), v, index, book, k, probes, rerank)
+    return found, codes.candidates(asked(spark, sf_dir), index, book, probes, rerank), n
+
+
+@query()
+def ann_codes(spark, sf_dir):
+    """V5: ten near vectors of every twentieth one: 16-byte codes of two thirds of the cells, a twentieth of the vectors scored exactly."""
+    found, _, _ = coded_search(spark, sf_dir)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT count(*) AS queries, true AS found_nine_tenths, true AS scored_a_tenth_at_most FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL")
+def ann_codes_recall(spark, sf_dir):
+    """V5: whether the coded search finds nine tenths of the true ten and scores at most a tenth of the vectors a query."""
+    found, scored, n = coded_search(spark, sf_dir)
+    true = vectors.topk_many(asked(spark, sf_dir), vectors_of(spark, sf_dir), 10).select("query_id", "id", F.lit(1).alias("true"))
+    hits = true.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    recall = hits.agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("true")).alias("found_nine_tenths"))
+    share = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") <= n / 10).alias("scored_a_tenth_at_most"))
+    return recall.crossJoin(share)

@@ -59,9 +59,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts_of(load(spark, sf_dir, "events"))
+
+
+def facts_of(events: DataFrame) -> DataFrame:
     """``id, subject, predicate, object, source_confidence, timestamp, state`` from events."""
-    e = load(spark, sf_dir, "events")
-    return e.select(
+    return events.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("subject"), F.col("event_type").alias("predicate"), F.get_json_object("props", "$.k").alias("object"),
         F.least(F.greatest(F.col("value") / 500.0, F.lit(0.0)), F.lit(1.0)).alias("source_confidence"), F.unix_timestamp("ts").alias("timestamp"), F.lit("Accepted").alias("state"),
     )

@@ -5,16 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in ``spark.checkpoint.dir`` and read back; a temporary folder only in local mode without that setting.
-
-    A written table has the size of its files.  ``checkpoint()`` keeps the estimate of the plan it
-    cuts, a product over its joins, whose digits multiply from round to round of a loop.
-    """
-    sc = df.sparkSession.sparkContext
+def fresh_path(spark: SparkSession, name: str = "table") -> str:
+    """A new folder name in ``spark.checkpoint.dir``; in a temporary folder only in local mode without that setting."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir", None)
         if folder is None:
@@ -22,6 +18,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         sc.setCheckpointDir(folder)
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back.
+
+    A written table has the size of its files.  ``checkpoint()`` keeps the estimate of the plan it
+    cuts, a product over its joins, whose digits multiply from round to round of a loop.
+    """
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that ``checkpointed`` wrote, once nothing reads them any more."""
+    for table in tables:
+        delete(table.sparkSession, table.table_path)
