@@ -133,3 +133,61 @@ def fuse(text: DataFrame, visual: DataFrame, text_weight: float, visual_weight:
 def max_over_frames(results: DataFrame) -> DataFrame:
     """The best score of an id over several searches."""
     return results.groupBy("id").agg(F.max("score").alias("score"))
+
+
+def within(rows: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(a, b)``, a < b: pairs of ``(id, embedding)`` of one length whose dot product is at least ``least``, by pairs of blocks.
+
+    Each block meets every block of a number not below its own, so the vectors move once per block.
+    """
+    packed, count = blocks(_rows(rows, "id", "embedding"), ["dim"], "q", block_rows)
+    sent = packed.join(count, "dim").select("dim", "q_rows", F.explode(F.sequence(F.col("q_block"), F.col("n") - 1)).alias("v_block"), "q_block")
+    met = sent.join(packed.select("dim", F.col("q_block").alias("v_block"), F.col("q_rows").alias("v_rows")), ["dim", "v_block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, v in zip(batch.column(0), batch.column(1)):
+                (a, ai), (b, bi) = ((x.values.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(x.values), -1), x.values.field("id").to_numpy()) for x in (q, v))
+                i, j = np.nonzero(a @ b.T >= least)
+                low, high = np.minimum(ai[i], bi[j]), np.maximum(ai[i], bi[j])
+                keep = low < high
+                yield pa.RecordBatch.from_arrays([pa.array(low[keep]), pa.array(high[keep])], ["a", "b"])
+
+    return met.select("q_rows", "v_rows").mapInArrow(run, "a long, b long").distinct()
+
+
+def projected(rows: DataFrame, weights: np.ndarray, bias: np.ndarray | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """V7: ``(id, embedding)`` carried into another space: ``v x weights + bias``, scaled to length 1 (zero stays zero).
+
+    ``weights`` has a row per component of the given vectors and is sent with the function;
+    vectors of another length and those with null components give no row.
+    """
+    width = weights.shape[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) @ weights
+            x = x if bias is None else x + bias
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            x = x / np.where(norm > 0, norm, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["id", "embedding"])
+
+    sound = _rows(rows, id_col, vector_col).where((F.col("dim") == width) & F.forall("v", lambda c: c.isNotNull())).select("id", "v")
+    return sound.mapInArrow(run, "id long, embedding array<double>").withColumnRenamed("id", id_col)
+
+
+def cross_modal(queries: DataFrame, text: DataFrame, visual: DataFrame, weights: np.ndarray, k: int, text_weight: float = 0.5, visual_weight: float = 0.5, min_similarity: float | None = None) -> DataFrame:
+    """V7, V8: image queries against an index of texts and one of images at once: ``(query_id, id, score, source, rank)``.
+
+    ``queries`` ``(query_id, embedding)`` live in the visual space.  They search ``visual`` as they
+    are and ``text`` after the projection by ``weights``; what both find is fused by weight, a
+    missing side counting 0.
+    """
+    seen = topk_many(queries, visual, k, min_similarity=min_similarity).select("query_id", "id", F.col("score").alias("visual_score"))
+    read = topk_many(projected(queries, weights, id_col="query_id"), text, k, min_similarity=min_similarity).select("query_id", "id", F.col("score").alias("text_score"))
+    t, v = F.coalesce("text_score", F.lit(0.0)), F.coalesce("visual_score", F.lit(0.0))
+    both = read.join(seen, ["query_id", "id"], "full_outer")
+    source = F.when((t > 0) & (v > 0), "Fused").when(v > 0, "Visual").otherwise("Text")
+    out = both.select("query_id", "id", (t * text_weight + v * visual_weight).alias("score"), source.alias("source"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
