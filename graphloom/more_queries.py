@@ -14,7 +14,7 @@ KNN = """knn AS (
   SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) DESC, b.vec_id) AS rank
   FROM embeddings a, embeddings b),
 near AS (SELECT a, b FROM knn WHERE rank <= 6 AND a <> b UNION SELECT b, a FROM knn WHERE rank <= 6 AND a <> b)"""
-TRAITS = """near AS (SELECT c_custkey AS a, c_nationkey::BIGINT * 8 + 1 AS b FROM customer UNION SELECT c_custkey, -ascii(c_mktsegment) FROM customer)"""
+TRAITS = """near AS (SELECT c_custkey AS a, -(c_nationkey::BIGINT + 1) AS b FROM customer UNION SELECT c_custkey, -(1000 + ascii(c_mktsegment)) FROM customer)"""
 ALIKE = """sizes AS (SELECT a, count(*) AS n FROM near GROUP BY a),
 common AS (SELECT x.a, y.a AS b, count(*) AS k FROM near x JOIN near y ON x.b = y.b AND x.a < y.a GROUP BY ALL),
 scored AS (
@@ -36,7 +36,7 @@ def _alike(spark, sf_dir, edges, threshold):
 def similar_entities(spark, sf_dir):
     """J7/G14 without names: customers with a vector, alike in nation, segment and vector; a common neighbour is needed."""
     c = tables.load(spark, sf_dir, "customer")
-    traits = F.array(F.col("c_nationkey").cast("long") * 8 + 1, -F.ascii("c_mktsegment").cast("long"))
+    traits = F.array(-(F.col("c_nationkey").cast("long") + 1), -(F.ascii("c_mktsegment").cast("long") + 1000))  # ids that no customer has
     return _alike(spark, sf_dir, c.select(F.col("c_custkey").alias("source"), F.explode(traits).alias("target"), F.lit(1.0).alias("weight")), 0.5)
 
 
