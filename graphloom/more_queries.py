@@ -1,4 +1,4 @@
-"""Registered queries of similarity joins, the exact shuffle, span decoding and cross-modal search, with their DuckDB oracles."""
+"""Registered queries of similarity joins, the exact shuffle, span decoding, cross-modal search and mindset scores, with their DuckDB oracles."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
-from graphloom.operators import shuffle, similar, spans, vectors
-from graphloom.queries import asked, knn_edges, query, vectors_of
+from graphloom.operators import mindset, scoring, shuffle, similar, spans, vectors
+from graphloom.plans import retrieval
+from graphloom.queries import FACTS, TOPK, asked, knn_edges, query, vectors_of
 from graphloom.sources import tables
 
 KNN = """knn AS (
@@ -103,3 +104,109 @@ def decoded_spans(spark, sf_dir):
     chunks = tables.load(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.chunks("text", 512)).alias("chunk", "text"))
     found = spans.decoded(chunks.withColumn("scores", word_scores(F.col("text"))), LABELS)
     return found.select("doc_id", "chunk", F.explode("mentions").alias("m")).select("doc_id", "chunk", "m.*").withColumn("confidence", F.round("confidence", 9))
+
+
+# --- mindset scores over signals counted in the fact table ----------------------------------------
+
+STATE_OF = "CASE contradictions WHEN 0 THEN 'Accepted' WHEN 1 THEN 'Superseded' WHEN 2 THEN 'Ambiguous' ELSE 'Contradiction' END"
+CORROBORATED = "least(ln(1 + {n}) / ln(1 + {s}.0), 1)"
+SIGNALS = f"""WITH {FACTS},
+total AS (SELECT count(*) AS n, max(timestamp) AS now, max(timestamp) - min(timestamp) AS span FROM facts),
+objects AS (SELECT object, count(*) AS n FROM facts GROUP BY object),
+pairs AS (SELECT subject, predicate, count(DISTINCT object) - 1 AS contradictions FROM facts GROUP BY ALL),
+same AS (SELECT subject, predicate, object, count(*) AS paths FROM facts WHERE object IS NOT NULL GROUP BY ALL),
+subjects AS (SELECT subject, count(*) AS n FROM facts GROUP BY subject),
+predicates AS (SELECT predicate, count(*) AS n FROM facts GROUP BY predicate),
+raw AS (
+  SELECT f.id, source_confidence AS conf, 1 - least(greatest((now - timestamp) / span, 0), 1) AS recency, paths, contradictions,
+         1 - o.n / t.n AS rarity, s.n / (SELECT max(n) FROM subjects) AS conn, p.n / t.n AS between_, o.n / (SELECT max(n) FROM objects) AS hub
+  FROM facts f JOIN pairs USING (subject, predicate) JOIN same USING (subject, predicate, object) JOIN objects o ON o.object = f.object JOIN subjects s ON s.subject = f.subject JOIN predicates p ON p.predicate = f.predicate, total t),
+signals AS (SELECT *, {STATE_OF} AS state FROM raw)"""
+
+
+def _weighted(name: str, conf: str, recency: str, diversity: str, conn: str) -> str:
+    c, r, d, k = mindset.WEIGHTS[name]
+    inside = lambda x: f"least(greatest({x}, 0), 1)"
+    return f"round(({c} * {inside(conf)} + {r} * {inside(recency)} + {d} * {inside(diversity)} + {k} * {inside(conn)}) / {c + r + d + k}, 9)"
+
+
+DIVERSITY = "CASE state " + " ".join(f"WHEN '{s}' THEN {v}" for s, v in mindset.STATE_DIVERSITY.items()) + " END"
+VERIFIED = "CASE state " + " ".join(f"WHEN '{s}' THEN {v}" for s, v in mindset.STATE_VERIFIED.items()) + " END"
+PATHS, AGAINST = CORROBORATED.format(n="paths", s=5), CORROBORATED.format(n="contradictions", s=3)
+CENTRAL = "(0.5 * between_ + 0.5 * hub)"
+NEAR = "(1.0 / paths)"
+
+
+def signals(spark, sf_dir):
+    """What the mindset scores are made of, counted in the facts; the tables that are joined have a row a subject, predicate or object."""
+    f = tables.facts(spark, sf_dir).where("object is not null")
+    every = tables.facts(spark, sf_dir)
+    total = every.agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("now"), (F.max("timestamp") - F.min("timestamp")).alias("span"))
+    count = lambda *keys: every.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{keys[-1]}"))
+    most = lambda df, column: df.agg(F.max(column).alias(f"most_{column}"))
+    objects, subjects = count("object"), count("subject")
+    pairs = every.groupBy("subject", "predicate").agg((F.countDistinct("object") - 1).alias("contradictions"))
+    same = f.groupBy("subject", "predicate", "object").agg(F.count(F.lit(1)).alias("paths"))
+    out = f.join(pairs, ["subject", "predicate"]).join(same, ["subject", "predicate", "object"]).join(objects, "object").join(subjects, "subject").join(count("predicate"), "predicate")
+    out = out.crossJoin(total).crossJoin(most(subjects, "n_subject")).crossJoin(most(objects, "n_object"))
+    n = F.col("contradictions")
+    state = F.when(n == 0, "Accepted").when(n == 1, "Superseded").when(n == 2, "Ambiguous").otherwise("Contradiction")
+    return out.select(
+        "id", F.col("source_confidence").alias("conf"), mindset.recency_in_range("timestamp", "now", "span").alias("recency"), "timestamp", "now", "span", "paths", "contradictions", state.alias("state"),
+        (1 - F.col("n_object") / F.col("n")).alias("rarity"), (F.col("n_subject") / F.col("most_n_subject")).alias("conn"), (F.col("n_predicate") / F.col("n")).alias("between_"), (F.col("n_object") / F.col("most_n_object")).alias("hub"),
+    )
+
+
+@query(f"""{SIGNALS} SELECT id,
+  {_weighted("Divergent", "0.5", "recency", "0", "conn")} AS node,
+  {_weighted("Convergent", f"0.6 * conf + 0.4 * {PATHS}", "recency", DIVERSITY, "conn")} AS convergent,
+  {_weighted("Divergent", "conf", "recency", f"0.6 * rarity + 0.4 * (1 - {PATHS})", "conn")} AS divergent,
+  {_weighted("Algorithmic", f"0.4 * conf + 0.4 * {VERIFIED} + 0.2 * (1 - {AGAINST})", "recency", DIVERSITY, "conn")} AS algorithmic,
+  {_weighted("Spatial", f"0.4 * conf + 0.6 * (0.4 * conn + 0.4 * {CENTRAL} + 0.2 * {NEAR})", NEAR, CENTRAL, "conn")} AS spatial
+FROM signals""")
+def mindset_variants(spark, sf_dir):
+    """The score of a node and the four scores with their own signals."""
+    s = signals(spark, sf_dir)
+    diversity = mindset._by_state("state", mindset.STATE_DIVERSITY)
+    scores = {
+        "node": mindset.score_node("Divergent", "timestamp", "now", "span", "conn"),
+        "convergent": mindset.convergent("conf", "recency", diversity, "conn", "paths"),
+        "divergent": mindset.divergent("conf", "recency", "rarity", "conn", "paths"),
+        "algorithmic": mindset.algorithmic("conf", "recency", diversity, "conn", "state", "contradictions"),
+        "spatial": mindset.spatial("conf", "conn", "between_", "hub", "paths"),
+    }
+    return s.select("id", *[F.round(c, 9).alias(n) for n, c in scores.items()])
+
+
+@query(f"{SIGNALS} SELECT id, round(0.5 * conf + 0.3 * conn + 0.2 * recency, 9) AS base, round(0.7 * (0.5 * conf + 0.3 * conn + 0.2 * recency) + 0.15 * rarity + 0.15 * hub, 9) AS final FROM signals")
+def base_and_final_scores(spark, sf_dir):
+    """C17: confidence, connectivity and recency as the parts of a base score, rarity and hubs beside it."""
+    base = scoring.base_score("conf", "conn", "recency")
+    return signals(spark, sf_dir).select("id", F.round(base, 9).alias("base"), F.round(scoring.final_score(base, "rarity", "hub"), 9).alias("final"))
+
+
+OWN_WORDS = {"Algorithmic": ["error", "test"], "Divergent": ["idea"], "Convergent": [], "Spatial": ["map", "near"]}
+
+
+def _detected(words: dict) -> str:
+    return " ".join(f"WHEN regexp_matches(lower(text), '(^|[^a-z0-9])({'|'.join(words[n])})([^a-z0-9]|$)') THEN '{n}'" for n in ("Algorithmic", "Divergent", "Convergent", "Spatial") if words[n])
+
+
+@query(f"""WITH t AS (SELECT conv_id * 1000 + turn AS id, text, trim(lower(text)) AS q FROM conversations)
+SELECT id, CASE {_detected(OWN_WORDS)} END AS own, CASE {_detected(mindset.KEYWORDS)}
+  WHEN contains(q, 'how') AND (contains(q, 'connect') OR contains(q, 'relate') OR contains(q, 'link to')) THEN 'Spatial'
+  WHEN contains(q, 'different') OR contains(q, 'compare') OR contains(q, 'versus') OR contains(q, 'vs ') THEN 'Divergent'
+  WHEN regexp_matches(q, '^(is |are |should |does )') THEN 'Algorithmic' WHEN regexp_matches(q, '^(what is|what''s|tell me about)') THEN 'Convergent' END AS mindset
+FROM t""")
+def mindset_analysis(spark, sf_dir):
+    """The mindset of every message with the rules on its form, and by lists of one's own."""
+    m = tables.messages(spark, sf_dir)
+    return m.select("id", mindset.detect("content", OWN_WORDS).alias("own"), mindset.analyse("content").alias("mindset"))
+
+
+@query(f"""WITH {TOPK}, v AS (SELECT vec_id, 'memory ' || vec_id AS content FROM embeddings)
+SELECT query_id, string_agg(printf('%d. [%.2f] %s', rank, score, content), chr(10) ORDER BY rank) AS context FROM top JOIN v ON v.vec_id = id WHERE rank <= 10 GROUP BY query_id""")
+def retrieval_context(spark, sf_dir):
+    """The numbered lines of every query's ten nearest memories."""
+    top = vectors.topk_many(asked(spark, sf_dir), vectors_of(spark, sf_dir), 10)
+    return retrieval.context(top.withColumn("content", F.concat(F.lit("memory "), F.col("id").cast("string"))))

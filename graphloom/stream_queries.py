@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import communities, graph, leiden
 from graphloom.queries import DAYS, FACTS, LATER, knn_edges, query
 from graphloom.sources import tables
+from graphloom.sources.cursor import CursorSource
 from graphloom.storage import checkpointed, fresh_path
 from graphloom.streaming import jobs, merge, stateful
 
@@ -63,6 +64,14 @@ def audit_ring(spark, sf_dir):
     return drained(stateful.audit_ring(entries, capacity=500, retention=DAYS), "audit").select("namespace", "timestamp", "seq", "reason")
 
 
+@query("SELECT event_id, event_type FROM events")
+def cursor_events(spark, sf_dir):
+    """The events through the cursor source, past no cursor: every row once."""
+    spark.dataSource.register(CursorSource)
+    stream = spark.readStream.format("cursor_rows").options(path=f"{sf_dir}/events.parquet", cursor="ts", kind="timestamp").load()
+    return drained(stream.select("event_id", "event_type"), "cursor")
+
+
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 6) AS value, max(event_id) AS seq FROM events GROUP BY user_id")
 def merged_events(spark, sf_dir):
     """The last event of each user, merged in three batches, the newest first: the sequence decides, not the order of arrival."""
