@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
-from graphloom.operators import mindset, scoring, shuffle, similar, spans, vectors
+from graphloom.operators import graph, mindset, scoring, shuffle, similar, spans, vectors
 from graphloom.plans import retrieval
-from graphloom.queries import FACTS, TOPK, asked, knn_edges, query, vectors_of
+from graphloom.queries import EDGES, FACTS, TOPK, asked, knn_edges, query, vectors_of
 from graphloom.sources import tables
 
 KNN = """knn AS (
@@ -210,3 +210,20 @@ def retrieval_context(spark, sf_dir):
     """The numbered lines of every query's ten nearest memories."""
     top = vectors.topk_many(asked(spark, sf_dir), vectors_of(spark, sf_dir), 10)
     return retrieval.context(top.withColumn("content", F.concat(F.lit("memory "), F.col("id").cast("string"))))
+
+
+@query(f"""WITH {EDGES},
+both_ AS MATERIALIZED (SELECT source AS a, target AS b, edge_type AS t FROM edges UNION ALL SELECT target, source, edge_type FROM edges),
+starts AS (SELECT c_custkey * 8 + 2 AS id FROM customer WHERE c_custkey % 20 = 0), goals AS (SELECT s_suppkey * 8 + 3 AS id FROM supplier),
+one AS MATERIALIZED (SELECT id AS start, b AS x FROM starts JOIN both_ ON a = id),
+two AS MATERIALIZED (SELECT start, x, b AS y FROM one JOIN both_ ON a = x WHERE b <> start AND x NOT IN (SELECT id FROM goals)),
+three AS MATERIALIZED (SELECT start, x, y, b AS z FROM two JOIN both_ ON a = y WHERE y NOT IN (SELECT id FROM goals) AND b IN (SELECT id FROM goals) AND b <> x AND b <> start),
+found AS (SELECT start, y AS goal, 2 AS hops FROM two WHERE y IN (SELECT id FROM goals) UNION ALL SELECT start, x, 1 FROM one WHERE x IN (SELECT id FROM goals)
+          UNION ALL SELECT start, z, 3 FROM three)
+SELECT start, goal, hops, count(*) AS paths FROM found GROUP BY ALL""")
+def paths_between(spark, sf_dir):
+    """Simple paths of up to three hops over all edges, from every twentieth customer to every supplier: how many of each length."""
+    starts = tables.load(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select((F.col("c_custkey") * 8 + 2).alias("id"))
+    goals = tables.load(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 8 + 3).alias("goal"))
+    found = graph.paths_between(tables.edges(spark, sf_dir), starts, goals, 3)
+    return found.groupBy("start", "goal", F.col("hops").cast("int").alias("hops")).agg(F.count(F.lit(1)).alias("paths"))

@@ -75,27 +75,73 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 100) ->
     return done
 
 
+def _walks(links: DataFrame, starts: DataFrame, hops: int) -> list[DataFrame]:
+    """Simple walks ``(end, at, nodes, types)`` of 0 to ``hops`` hops from each of ``starts`` ``(end)``; each hop is written."""
+    walks = [starts.select("end", F.col("end").alias("at"), F.array("end").alias("nodes"), F.array().cast("array<string>").alias("types"))]
+    for _ in range(hops):
+        step = walks[-1].join(links, "at").where(~F.array_contains("nodes", F.col("neighbour")))
+        walks.append(checkpointed(step.select("end", F.col("neighbour").alias("at"), F.concat("nodes", F.array("neighbour")).alias("nodes"), F.concat("types", F.array("edge_type")).alias("types"))))
+    return walks
+
+
 def simple_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4, max_paths: int | None = 100) -> DataFrame:
     """``(start, goal, nodes, types, hops)``: simple undirected paths; parallel edges give paths of their own.
 
-    At most ``max_paths`` per pair, fewest hops and least nodes first (a limit that is the feature).
+    Walks go from the starts half of the hops and from the goals the other half, once for each end
+    however many pairs it is in, and meet by (pair, node): a path of h hops is cut after the first
+    half of them, so it is found once, and no walk is longer than half of ``max_hops``.  The last
+    walks from the starts only take steps to where a goal's walk stands.  At most ``max_paths`` per
+    pair, fewest hops and least nodes first (a limit that is the feature).
     """
-    links = both_ways(edges).select(F.col("node").alias("_at"), "neighbour", "edge_type")
-    grown = pairs.where("start <> goal").select("start", "goal", F.array("start").alias("nodes"), F.array().cast("array<string>").alias("types"))
+    links = both_ways(edges).select(F.col("node").alias("at"), "neighbour", "edge_type")
+    pairs = pairs.where("start <> goal").select("start", "goal").distinct()
+    if max_hops > 1:
+        links, pairs = checkpointed(links), checkpointed(pairs)
+    ahead, behind = (max_hops + 1) // 2, max_hops // 2
+    back = _walks(links, pairs.select(F.col("goal").alias("end")).distinct(), behind)
+    reached = back[0].select("at")
+    for walk in back[1:]:
+        reached = reached.unionByName(walk.select("at"))
+    last = links.join(reached.select(F.col("at").alias("neighbour")).distinct(), "neighbour", "left_semi")
+    starts = pairs.select(F.col("start").alias("end")).distinct()
+    forth = _walks(links, starts, ahead - 1)
+    final = forth[-1].join(last, "at").where(~F.array_contains("nodes", F.col("neighbour")))
+    forth.append(final.select("end", F.col("neighbour").alias("at"), F.concat("nodes", F.array("neighbour")).alias("nodes"), F.concat("types", F.array("edge_type")).alias("types")))
     found = None
-    for _ in range(max_hops):
-        step = grown.withColumn("_at", F.element_at("nodes", -1)).join(links, "_at").where(~F.array_contains("nodes", F.col("neighbour")))
-        step = step.select("start", "goal", F.concat("nodes", F.array("neighbour")).alias("nodes"), F.concat("types", F.array("edge_type")).alias("types"))
-        done = step.where(F.element_at("nodes", -1) == F.col("goal"))
-        found = done if found is None else found.unionByName(done)
-        grown = step.where(F.element_at("nodes", -1) != F.col("goal"))
-    found = found.withColumn("hops", F.size("types"))
+    for hops in range(1, max_hops + 1):
+        f = forth[(hops + 1) // 2].select(F.col("end").alias("start"), "at", "nodes", "types")
+        b = back[hops // 2].select(F.col("end").alias("goal"), "at", F.slice(F.reverse("nodes"), 2, max(1, hops)).alias("rest"), F.reverse("types").alias("others"))
+        met = f.join(pairs, "start").join(b, ["goal", "at"]).where(~F.arrays_overlap("nodes", "rest"))
+        met = met.select("start", "goal", F.concat("nodes", "rest").alias("nodes"), F.concat("types", "others").alias("types"), F.lit(hops).alias("hops"))
+        found = met if found is None else found.unionByName(met)
     if max_paths is None:
         return found
     rank = F.row_number().over(Window.partitionBy("start", "goal").orderBy("hops", "nodes", "types"))
     return found.withColumn("_rank", rank).where(F.col("_rank") <= max_paths).drop("_rank")
 
 
+def paths_between(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_hops: int) -> DataFrame:
+    """``(start, goal, nodes, types, hops)``: simple paths from any of ``starts`` ``(id)`` to any of ``goals`` ``(goal)`` with no other goal inside.
+
+    As ``simple_paths``, but all starts are asked against all goals, so no table of pairs is made:
+    walks meet by node.
+    """
+    links = checkpointed(both_ways(edges).select(F.col("node").alias("at"), "neighbour", "edge_type"))
+    ends = checkpointed(goals.select(F.col("goal").alias("end")).distinct())
+    onward = links.join(ends.select(F.col("end").alias("neighbour")), "neighbour", "left_anti")
+    ahead, behind = (max_hops + 1) // 2, max_hops // 2
+    back = _walks(onward, ends, behind)
+    forth = _walks(onward, starts.select(F.col("id").alias("end")).distinct(), ahead)
+    into = _walks(links.join(ends.select(F.col("end").alias("neighbour")), "neighbour", "left_semi"), starts.select(F.col("id").alias("end")).distinct(), 1)[1]
+    found = into.select(F.col("end").alias("start"), F.col("at").alias("goal"), "nodes", "types", F.lit(1).alias("hops"))
+    for hops in range(2, max_hops + 1):
+        f = forth[(hops + 1) // 2].select(F.col("end").alias("start"), "at", "nodes", "types")
+        b = back[hops // 2].select(F.col("end").alias("goal"), "at", F.slice(F.reverse("nodes"), 2, hops).alias("rest"), F.reverse("types").alias("others"))
+        met = f.join(b, "at").where(~F.arrays_overlap("nodes", "rest"))
+        found = found.unionByName(met.select("start", "goal", F.concat("nodes", "rest").alias("nodes"), F.concat("types", "others").alias("types"), F.lit(hops).alias("hops")))
+    return found
+
+
 def paths_from(edges: DataFrame, starts: DataFrame, max_hops: int, goals: DataFrame | None = None, max_paths: int | None = 10) -> DataFrame:
     """Simple paths from many starts at once, every prefix a path to its last node: ``(start, goal, nodes, types, degrees, hops)``.
 
