@@ -215,9 +215,15 @@ def remap(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(s, "source").join(t, "target").select(F.col("_s").alias("source"), F.col("_t").alias("target"), *rest)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Last write wins by key: rows of ``new`` replace those of ``old``."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.dropDuplicates(keys))
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], sequence: str | None = None) -> DataFrame:
+    """Last write wins by key: rows of ``new`` replace those of ``old``.
+
+    Of several rows of ``new`` with one key that of the largest ``sequence`` holds, and without one, or
+    among equals, the greatest row, so the result does not depend on the order of a batch.
+    """
+    order = [F.col(sequence).alias("_sequence")] if sequence else []
+    last = new.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max(F.struct(*order, F.struct(*new.columns).alias("row"))).alias("last")).select("last.row.*")
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(last.select(*new.columns))
 
 
 def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

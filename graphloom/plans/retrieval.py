@@ -83,7 +83,11 @@ def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, embeddings:
 def _community_members(seeds: DataFrame, found: DataFrame, placed: DataFrame, plan: Retrieval) -> DataFrame:
     """Rows like ``found`` for the ``plan.members`` least ids of the seeds' communities that a query has not found."""
     own = seeds.select("query_id", F.col("id").alias("node_id")).join(placed, "node_id").select("query_id", "community_id").distinct()
-    extra = own.join(placed, "community_id").select("query_id", F.col("node_id").alias("id")).join(found, ["query_id", "id"], "left_anti")
+    # of a community's least ids a query has found at most as many as it has found at all
+    most = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    least = F.row_number().over(Window.partitionBy("community_id").orderBy("node_id"))
+    first = placed.withColumn("_least", least).where(F.col("_least") <= plan.members + most).drop("_least")
+    extra = own.join(first, "community_id").select("query_id", F.col("node_id").alias("id")).join(found, ["query_id", "id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
     first = extra.withColumn("_rank", rank).where(F.col("_rank") <= plan.members)
     return first.select("query_id", "id", F.lit(0).alias("is_seed"), F.lit(plan.member_similarity).alias("similarity"))
