@@ -21,26 +21,32 @@ def vocabulary(name: str) -> str:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, re-parameterised ones too: template windows and slot consistency."""
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document gives to a mix of sources to target weights."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents by weighted five-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), max_tokens=2048)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: base spans and what induced patterns add."""
     return pii.find(table(spark, sf_dir, "documents"))
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written to sorted shards and read back."""
     return sstable.token_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
@@ -50,19 +56,23 @@ def fold(parts: int, held: int) -> Column:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text; fold 1 of 3 is held out."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(3, 1), threshold=0.7)
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every whole text, in the order of their rules."""
     out = licenses.recognise(table(spark, sf_dir, "documents"))
     return out.withColumn("licenses", F.concat_ws(",", "licenses"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label at a cosine of 0.98."""
     return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text; fold 0 of 5 is held out."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5, 0), threshold=0.3)
 
 
