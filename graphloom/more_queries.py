@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
-from graphloom.operators import graph, mindset, scoring, shuffle, similar, spans, vectors
+from graphloom.operators import codes, graph, mindset, scoring, shuffle, similar, spans, vectors
 from graphloom.plans import retrieval
 from graphloom.queries import EDGES, FACTS, TOPK, asked, knn_edges, query, vectors_of
-from graphloom.sources import tables
+from graphloom.sources import indexed, tables
+from graphloom.storage import fresh_path
 
 KNN = """knn AS (
   SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) DESC, b.vec_id) AS rank
@@ -227,3 +228,18 @@ def paths_between(spark, sf_dir):
     goals = tables.load(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 8 + 3).alias("goal"))
     found = graph.paths_between(tables.edges(spark, sf_dir), starts, goals, 3)
     return found.groupBy("start", "goal", F.col("hops").cast("int").alias("hops")).agg(F.count(F.lit(1)).alias("paths"))
+
+
+@query("""SELECT vec_id AS id, round(CASE WHEN vec_id % 20 = 0 THEN -1 ELSE 1 END * list_sum(embedding::DOUBLE[]), 5) AS total, true AS in_its_cell
+FROM embeddings WHERE vec_id % 20 <> 1 AND embedding IS NOT NULL AND len(embedding) > 0""")
+def index_upkeep(spark, sf_dir):
+    """Vectors filed by cell, of which some are turned round and some cleared: what is there, and whether in the right cell."""
+    v = vectors_of(spark, sf_dir).select("id", "embedding")
+    book, path = codes.fit(v, max(4, round(v.count() ** 0.5))), fresh_path(spark, "vectors")
+    indexed.build(v, path, book)
+    turned = v.where("id % 20 = 0").select("id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    indexed.change(spark, path, book, turned, v.where("id % 20 = 1"))
+    rows = indexed.read(spark, path)
+    right = indexed.placed(rows.select("id", "embedding"), book).select("id", F.col("cell").alias("right"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return rows.join(right, "id").select("id", F.round(total, 5).alias("total"), (F.col("cell") == F.col("right")).alias("in_its_cell"))
