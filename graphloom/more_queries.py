@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
-from graphloom.operators import codes, graph, mindset, scoring, shuffle, similar, spans, vectors
+from graphloom.operators import codes, graph, mindset, relations, scoring, shuffle, similar, spans, vectors
 from graphloom.plans import retrieval
 from graphloom.queries import EDGES, FACTS, TOPK, asked, knn_edges, query, vectors_of
 from graphloom.sources import indexed, tables
@@ -243,3 +243,28 @@ def index_upkeep(spark, sf_dir):
     right = indexed.placed(rows.select("id", "embedding"), book).select("id", F.col("cell").alias("right"))
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
     return rows.join(right, "id").select("id", F.round(total, 5).alias("total"), (F.col("cell") == F.col("right")).alias("in_its_cell"))
+
+
+def named_entities(spark, sf_dir):
+    """Customers and nations; suppliers are left out, so that their relations stay open."""
+    return tables.nodes(spark, sf_dir).where("node_type = 'Entity' and id % 8 in (1, 2)").select("id", "content")
+
+
+@query("""SELECT c_custkey * 8 + 2 AS source, c_nationkey::BIGINT * 8 + 1 AS target, 'HasProperty' AS edge_type, 0.75::DOUBLE AS weight, c_custkey AS source_chunk FROM customer""")
+def resolved_relations(spark, sf_dir):
+    """Where customers and suppliers live, by names in another case; those of suppliers find no entity and drop out."""
+    n = tables.load(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit(" "), F.initcap("n_name")).alias("object"))
+    c = tables.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("text_id"), F.upper("c_name").alias("subject"), F.col("c_nationkey").alias("n_nationkey"))
+    s = tables.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("text_id"), F.upper("s_name").alias("subject"), F.col("s_nationkey").alias("n_nationkey"))
+    found = c.unionByName(s).join(n, "n_nationkey").select("text_id", "subject", F.lit("has").alias("predicate"), "object", F.lit(0.75).alias("confidence"))
+    return relations.resolved(found, named_entities(spark, sf_dir)).drop("predicate")
+
+
+@query("""SELECT o_orderkey * 8 + 5 AS source, o_custkey * 8 + 2 AS target, 'RelatesTo' AS edge_type, 1.0 AS weight FROM orders
+UNION ALL SELECT o_orderkey * 8 + 5, c_nationkey::BIGINT * 8 + 1, 'RelatesTo', 1.0 FROM orders JOIN customer ON c_custkey = o_custkey""")
+def mention_links(spark, sf_dir):
+    """Orders as texts that mention their customer (twice, in two cases), its nation and an unknown name."""
+    n = tables.load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    c = tables.load(spark, sf_dir, "customer").join(n, "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), F.explode(F.array(F.upper("c_name"), F.lower("c_name"), F.lower("n_name"), F.concat("c_name", F.lit("?")))).alias("text"))
+    mentions = tables.load(spark, sf_dir, "orders").join(c, "o_custkey").select((F.col("o_orderkey") * 8 + 5).alias("text_id"), "text")
+    return relations.mention_links(mentions, named_entities(spark, sf_dir))

@@ -141,3 +141,22 @@ def with_fallback(first: DataFrame, other: DataFrame, key: str = "text_id") -> D
     """The relations of the first extractor, and those of the other for texts of which the first has none."""
     rest = other.join(first.select(key).distinct(), key, "left_anti")
     return first.unionByName(rest.select(*first.columns))
+
+
+def resolved(found: DataFrame, entities: DataFrame) -> DataFrame:
+    """``(source, target, edge_type, weight, predicate, source_chunk)`` of relations ``(text_id, subject, predicate, object, confidence)``.
+
+    Subject and object are looked up among ``entities`` ``(id, content)`` by normalised name; a
+    relation with an end that no entity has is dropped.  Of entities of one name the least id holds.
+    """
+    ids = entities.groupBy(tx.key("content").alias("key")).agg(F.min("id").alias("id")).where("key is not null")
+    rows = found.withColumn("_s", tx.key("subject")).withColumn("_o", tx.key("object"))
+    rows = rows.join(ids.select(F.col("key").alias("_s"), F.col("id").alias("source")), "_s").join(ids.select(F.col("key").alias("_o"), F.col("id").alias("target")), "_o")
+    return rows.select("source", "target", edge_type("predicate").alias("edge_type"), F.col("confidence").alias("weight"), "predicate", F.col("text_id").alias("source_chunk"))
+
+
+def mention_links(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """A RelatesTo edge of weight 1 from each text to each entity that it mentions, once; unknown names give none."""
+    ids = entities.groupBy(tx.key("content").alias("key")).agg(F.min("id").alias("id")).where("key is not null")
+    rows = mentions.select(F.col("text_id").alias("source"), tx.key("text").alias("key")).distinct().join(ids, "key")
+    return rows.select("source", F.col("id").alias("target"), F.lit("RelatesTo").alias("edge_type"), F.lit(1.0).alias("weight"))
