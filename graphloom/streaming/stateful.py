@@ -100,7 +100,9 @@ def contradictions(stream: DataFrame, seconds: int = facts.TEMPORAL_SECONDS, gap
     (timestamp, id) from batch to batch; inside a batch their order does not matter.  A fact that
     comes late is held against the earliest known fact if that is earlier, else against none; it
     becomes the earliest itself for what comes after, and pairs already given stay.  A key that
-    had no new earliest fact for ``ttl_ms`` milliseconds is forgotten and starts anew.  Keys with a
+    had no new earliest fact for ``ttl_ms`` milliseconds is forgotten and starts anew; such a stream
+    never runs out of empty batches, so ``availableNow`` ends only with
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` off.  Keys with a
     null subject or predicate and facts without object or timestamp give no pairs.
     """
     columns = ["subject", "predicate", *FACT, "state"]
