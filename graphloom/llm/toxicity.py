@@ -5,7 +5,8 @@ raw-content dictionary of the windows that recur over its documents; the toxic o
 over-represented there.  A window that one dictionary holds whole compresses to a single match,
 else to several matches and literals, so ``len(ordinary) - len(toxic)`` is a distance in bytes.
 A document's score is a logistic function, calibrated on rows that the dictionaries did not see,
-of the largest distances, of how many windows pass each distance threshold and of their share.
+of the largest distances, of how many windows pass each distance threshold and of their share;
+a text's length and its harmless windows are no input of their own.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def features(found: list[str], distance: Distance) -> list[float]:
     v = np.sort(distance(found))[::-1] if found else np.zeros(1, np.int64)
     n = max(len(v), 20)
     counts = [int((v >= t).sum()) for t in THRESHOLDS]
-    return [float(v[0]), float(v[:3].mean()), *np.log1p(counts), *(min(100 * c / n, 50.0) for c in counts[1:]), float(v.mean()), float(np.log1p(len(v)))]
+    return [float(v[0]), float(v[:3].mean()), *np.log1p(counts), *(min(100 * c / n, 50.0) for c in counts[1:])]
 
 
 def fit(rows: list[tuple[str, int]]) -> dict:
@@ -122,25 +123,27 @@ def fit(rows: list[tuple[str, int]]) -> dict:
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
     """A bounded sample of labelled texts: the rows of each class that come first by a hash of the id.
 
-    At most ``max_toxic`` + ``max_ordinary`` rows and, taken in that order, ``MAX_SAMPLE_CHARS``
-    characters.  Rows whose label or text is null, and ids with both labels, are no training rows.
+    At most ``max_toxic`` + ``max_ordinary`` rows, however many rows an id stands for, and, taken
+    in that order, ``MAX_SAMPLE_CHARS`` characters; equal rows count once.  Rows whose label or
+    text is null, and ids with both labels, are no training rows.
     """
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & learn)
     marked = marked.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_most")).where("_y = _most").drop("_most")
     order = [F.xxhash64("_id"), F.col("_id")]
     chosen = marked.where("_y = 1").orderBy(*order).limit(max_toxic).unionByName(marked.where("_y = 0").orderBy(*order).limit(max_ordinary))
     # at most max_toxic + max_ordinary narrow rows
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null").join(F.broadcast(chosen), "_id")
-    narrow = sorted(picked.select("_id", "_y", F.length("_text").alias("n"), F.xxhash64("_id").alias("h")).collect(), key=lambda r: (r.h, r["_id"]))
-    total, ids = 0, []
-    for r in narrow:
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_key")).where("_text is not null").join(F.broadcast(chosen), "_id")
+    narrow = picked.groupBy("_id", "_key", "_y").agg(F.max(F.length("_text")).alias("n")).withColumn("h", F.xxhash64("_id"))
+    first = [r for y, most in ((1, max_toxic), (0, max_ordinary)) for r in narrow.where(F.col("_y") == y).orderBy("h", "_id", "_key").limit(most).collect()]
+    total, keys = 0, []
+    for r in sorted(first, key=lambda r: (r.h, r["_id"], r["_key"])):
         if total + r.n <= MAX_SAMPLE_CHARS:
             total += r.n
-            ids.append(r["_id"])
-    if not ids:
+            keys.append((r["_id"], r["_key"]))
+    if not keys:
         return []
-    keep = docs.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("_id", docs.schema[id_col].dataType)]))
-    rows = picked.join(F.broadcast(keep.distinct()), "_id").select("_id", "_text", "_y", F.xxhash64("_id").alias("h")).collect()
+    keep = docs.sparkSession.createDataFrame(keys, T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_key", T.LongType())]))
+    rows = picked.join(F.broadcast(keep), ["_id", "_key"]).groupBy("_id", "_key").agg(F.min("_text").alias("_text"), F.min("_y").alias("_y"), F.min(F.xxhash64("_id")).alias("h")).collect()
     return [(r["_text"], r["_y"]) for r in sorted(rows, key=lambda r: (r.h, r["_id"], r["_text"]))]
 
 
@@ -164,7 +167,8 @@ def score_rows(docs: DataFrame, model: dict, text_col: str = "text") -> DataFram
                 score = np.full(batch.num_rows, blob["share"])
             else:
                 x = np.array([features(windows(t.as_py() or ""), distance) for t in batch.column(1)]).reshape(batch.num_rows, len(blob["mean"]))
-                z = np.c_[(x - blob["mean"]) / blob["scale"], np.ones(len(x))] @ blob["weights"]
+                # summed row by row: a score does not depend on the batch that its row is in
+                z = ((x - blob["mean"]) / blob["scale"] * blob["weights"][:-1]).sum(1) + blob["weights"][-1]
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["row", "score"])
 
