@@ -22,6 +22,23 @@ def depths(rows, seed, hops):
     return found
 
 
+@pytest.mark.parametrize("floor", [True, False])
+def test_hybrid_equals_plain_scores(spark, floor):
+    rnd = random.Random(6)
+    rows = [(rnd.randrange(30), rnd.randrange(30)) for _ in range(40)]
+    seeds = [(i, s) for i, s in zip(range(0, 30, 4), (0.9, -0.5, 0.3, None, -0.1, 0.0, 0.7, 0.2))]
+    given = spark.createDataFrame(seeds, "id long, score double")
+    for decay in (0.5, 1.5):
+        want = {}
+        for seed, score in seeds:
+            for n, d in depths(rows, seed, 2).items():
+                value = None if score is None else score * decay**d
+                want[n] = value if want.get(n) is None else want[n] if value is None else max(want[n], value)
+        want = {n: max(v or 0.0, 0.0) if floor else v for n, v in want.items()}
+        got = {r.id: r.score for r in graph.hybrid(frame(spark, rows), given, 2, decay, floor).collect()}
+        assert got.keys() == want.keys() and all(got[n] == want[n] if want[n] is None else abs(got[n] - want[n]) < 1e-12 for n in want)
+
+
 def written(monkeypatch):
     rows, keep = [], graph.checkpointed
 
@@ -37,6 +54,14 @@ def written(monkeypatch):
 STAR = [(i, 0) for i in range(1, 301)] + [(0, 1_000)]
 
 
+def test_hybrid_makes_no_pairs_at_a_hub(spark, monkeypatch):
+    rows = written(monkeypatch)
+    scored = spark.createDataFrame([(i, i / 300) for i in range(1, 301)], "id long, score double")
+    got = {r.id: r.score for r in graph.hybrid(frame(spark, STAR), scored, 3, 0.5).collect()}
+    assert got[0] == 0.5 and got[1_000] == 0.25 and got[1] == 0.25 and got[300] == 1.0
+    assert max(rows) <= 2 * len(STAR)
+
+
 def test_shortest_paths_meet_before_a_hub_and_take_the_least(spark, monkeypatch):
     rows = written(monkeypatch)
     pairs = spark.createDataFrame([(i, 1_000) for i in range(1, 301)], "start long, goal long")
