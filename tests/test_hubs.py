@@ -92,3 +92,10 @@ def test_shortest_paths_equal_plain_search(spark):
         assert {(r.start, r.goal): r.path for r in graph.shortest_paths(frame(spark, edges), asked, most).collect()} == want
 
 
+def test_paths_between_do_not_walk_a_hub_out(spark, monkeypatch):
+    rows = written(monkeypatch)
+    starts = spark.createDataFrame([(i,) for i in range(1, 301)], "id long")
+    goals = spark.createDataFrame([(1_000,)], "goal long")
+    got = graph.paths_between(frame(spark, STAR), starts, goals, 3).collect()
+    assert sorted((r.start, r.nodes) for r in got) == [(i, [i, 0, 1_000]) for i in range(1, 301)]
+    assert max(rows) <= 2 * len(STAR)
