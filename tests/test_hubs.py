@@ -22,6 +22,22 @@ def depths(rows, seed, hops):
     return found
 
 
+@pytest.mark.parametrize("most", [64, 1])
+def test_search_through_heavy_nodes_equals_plain_search(spark, monkeypatch, most):
+    for name, value in (("HEAVY", 3), ("MOST_HEAVY", most), ("BLOCK_NEIGHBOURS", 2), ("BLOCK_SEEDS", 2), ("PAIRS_A_TASK", 50)):
+        monkeypatch.setattr(graph, name, value)
+    rnd = random.Random(5)
+    rows = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(60)] + [(100, i) for i in range(0, 40, 3)] + [(101, i) for i in range(0, 40, 2)] + [(7, 7), (100, 101)]
+    seeds = [0, 3, 7, 12, 100, 101, 999]
+    ids = spark.createDataFrame([(x,) for x in seeds], "id long")
+    nodes = spark.createDataFrame([(i, f"n{i}") for i in (*range(30), 100)], "id long, content string")
+    for hops in (1, 2, 3):
+        want = sorted((s, n, d) for s in seeds for n, d in depths(rows, s, hops).items())
+        assert sorted(map(tuple, graph.search(frame(spark, rows), ids, hops).select("seed", "node", "depth").collect())) == want
+        got = sorted(map(tuple, graph.traverse(nodes, frame(spark, rows), ids, hops).select("seed", "node", "depth", "content").collect()))
+        assert got == [(s, n, d, f"n{n}") for s, n, d in want if n < 30 or n == 100]
+
+
 @pytest.mark.parametrize("floor", [True, False])
 def test_hybrid_equals_plain_scores(spark, floor):
     rnd = random.Random(6)
