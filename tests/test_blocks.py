@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from graphloom.operators import blocks, vectors
+from graphloom.operators import blocks, scoring, vectors
 
 
 @pytest.fixture
@@ -36,6 +36,19 @@ def test_best_columns_take_the_first_of_equals(monkeypatch):
             assert column[row == i].tolist() == want and np.allclose(score[row == i], s[want])
 
 
+def test_merges_of_many_entities_of_one_name(spark, small):
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice(["a", "A ", "b", None]), None if i == 9 else [rnd.uniform(-1, 1) for _ in range(rnd.choice([2, 2, 2, 3]))]) for i in range(60)]
+    for threshold in (0.3, 0.0):
+        want = {}
+        for i, n, v in rows:
+            for j, m, w in rows:
+                if i < j and n and m and n.strip().lower() == m.strip().lower() and (sum(x * y for x, y in zip(v, w)) if v and w and len(v) == len(w) else 0.0) >= threshold:
+                    want[j] = min(want.get(j, i), i)
+        given = spark.createDataFrame(rows, "id long, content string, embedding array<double>")
+        assert {r.removed: r.survivor for r in scoring.merge_pairs(given, threshold).collect()} == want
+
+
 def test_vectors_are_sent_to_few_blocks(spark, monkeypatch):
     """3,000 vectors: each goes to one group for each block of the other side, 4 here and not one per 50."""
     monkeypatch.setattr(blocks, "SPREAD", 4)
