@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from graphloom.operators import blocks, scoring, vectors
+from graphloom.operators import blocks, communities, scoring, vectors
 
 
 @pytest.fixture
@@ -36,6 +36,15 @@ def test_best_columns_take_the_first_of_equals(monkeypatch):
             assert column[row == i].tolist() == want and np.allclose(score[row == i], s[want])
 
 
+def test_jaccard_within_equals_the_join(spark, small):
+    rnd = random.Random(3)
+    sets = spark.createDataFrame([(i, rnd.randrange(8)) for i in range(20) for _ in range(rnd.randrange(5))], "id long, member long")
+    items = spark.createDataFrame([(i, rnd.randrange(2), None if i == 4 else "x") for i in range(24)], "id long, k long, m string")
+    a, b = (items.withColumnRenamed("id", x) for x in ("a", "b"))
+    want = sorted(map(tuple, communities.jaccard(sets, a.join(b, ["k", "m"]).where("a < b").select("a", "b")).collect()))
+    assert sorted(map(tuple, communities.jaccard_within(sets, items, ["k", "m"]).collect())) == want
+
+
 def test_merges_of_many_entities_of_one_name(spark, small):
     rnd = random.Random(4)
     rows = [(i, rnd.choice(["a", "A ", "b", None]), None if i == 9 else [rnd.uniform(-1, 1) for _ in range(rnd.choice([2, 2, 2, 3]))]) for i in range(60)]
