@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from graphloom.operators import blocks, communities, scoring, vectors
+from graphloom.operators import blocks, communities, graph, scoring, similar, vectors
 
 
 @pytest.fixture
@@ -58,6 +58,27 @@ def test_merges_of_many_entities_of_one_name(spark, small):
         assert {r.removed: r.survivor for r in scoring.merge_pairs(given, threshold).collect()} == want
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.3])
+def test_similar_pairs_of_hot_members(spark, small, threshold):
+    rnd = random.Random(5)
+    rows = [(i, None if i == 3 else [0.0, 0.0] if i == 5 else [rnd.uniform(-1, 1) for _ in range(3 if i % 7 == 0 else 2)]) for i in range(40)]
+    near = {(i, rnd.choice([100, 101, 102, 200 + rnd.randrange(15)])) for i in range(40) for _ in range(2)}
+    sets = {i: {m for j, m in near if j == i} for i, _ in rows}
+    want = {}
+    for i, v in rows:
+        for j, w in rows:
+            if i < j:
+                jac = len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 0.0
+                n = np.linalg.norm(v or 0) * np.linalg.norm(w or 0)
+                cos = float(np.dot(v, w) / n) if v and w and len(v) == len(w) and n > 0 else 0.0
+                if 0.6 * jac + 0.4 * cos >= threshold:
+                    want[i, j] = (jac, cos)
+    e = spark.createDataFrame(rows, "id long, embedding array<double>")
+    edges = spark.createDataFrame([(i, m, "RelatesTo", 1.0) for i, m in near], "source long, target long, edge_type string, weight double")
+    got = {(r.a, r.b): (r.jaccard, r.cosine) for r in similar.pairs(e, edges, threshold).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[p], want[p]) for p in got)
+
+
 def test_vectors_are_sent_to_few_blocks(spark, monkeypatch):
     """3,000 vectors: each goes to one group for each block of the other side, 4 here and not one per 50."""
     monkeypatch.setattr(blocks, "SPREAD", 4)
