@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
 from graphloom.operators import graph, tenancy
+from graphloom.storage import checkpointed
 
 PREFIX = "memory:node/"
 
@@ -27,14 +28,19 @@ def export_graph(nodes: DataFrame, edges: DataFrame, namespace: str | None = Non
 
 
 def import_graph(node_lines: DataFrame, edge_lines: DataFrame, namespace: str, next_id: int) -> tuple[DataFrame, DataFrame]:
-    """S12 (Q28): nodes under new ids in a namespace, embedding null where absent; edges with unknown ends are dropped."""
+    """S12 (Q28): nodes under new ids in a namespace, embedding null where absent; edges with unknown ends are dropped.
+
+    Lines are parsed once, into tables: the joins' own filters would else parse what stands before the lines were picked.
+    """
     shape = "struct<`@id`:string,`@type`:string,content:string,timestamp:long,metadata:map<string,string>,embedding:array<float>>"
     parsed = node_lines.select(F.from_json("value", shape).alias("n")).where("n.`@id` is not null").select(F.regexp_extract("n.@id", r"(\d+)$", 1).cast("long").alias("id"), "n.content", F.col("n.@type").alias("node_type"), "n.timestamp", "n.metadata", "n.embedding")
+    parsed = checkpointed(parsed)
     ids = tenancy.renumbered(parsed, next_id)
     nodes = parsed.join(ids, F.col("id") == F.col("old")).select(F.col("new").alias("id"), "content", "node_type", "timestamp", F.lit(namespace).alias("namespace"), "metadata", "embedding")
     edge = edge_lines.select(F.from_json("value", "struct<source:string,target:string,`@type`:string,weight:double>").alias("e"))
     end = lambda c: F.regexp_extract(F.col(f"e.{c}"), r"(\d+)$", 1).cast("long").alias(c)
-    return nodes, graph.remap(edge.select(end("source"), end("target"), F.col("e.@type").alias("edge_type"), F.col("e.weight").alias("weight")), ids)
+    ends = checkpointed(edge.select(end("source"), end("target"), F.col("e.@type").alias("edge_type"), F.col("e.weight").alias("weight")))
+    return nodes, graph.remap(ends, ids)
 
 
 MEMORY = "struct<id:string,memory:string,user_id:string,agent_id:string,run_id:string,created_at:string,updated_at:string,metadata:map<string,string>>"

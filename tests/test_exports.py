@@ -100,3 +100,14 @@ def test_upserted_versions_are_never_lost(spark, tmp_path):
     into(batch([(3, "d", 3)]), 5)  # batches 2 to 4 left no version
     into(batch([(3, "d", 3)]), 5)  # run again
     assert sorted((r.id, r.v) for r in spark.read.parquet(f"{path}/version=5").collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_an_import_parses_its_lines_once(spark):
+    """No join's own filter parses lines again, before they are picked."""
+    nodes = spark.createDataFrame([(i, f"n{i}", "Entity", 0, "default" if i < 3 else "other") for i in range(6)], "id long, content string, node_type string, timestamp long, namespace string")
+    edges = spark.createDataFrame([(i, (i + 1) % 6, "RelatesTo", 0.5) for i in range(6)], "source long, target long, edge_type string, weight double")
+    back, links = interop.import_graph(*interop.export_graph(nodes, edges, "default"), "copy", 10)
+    assert sorted((r.source, r.target, r.edge_type, r.weight) for r in links.collect()) == [(10, 11, "RelatesTo", 0.5), (11, 12, "RelatesTo", 0.5)]
+    assert sorted(r.id for r in back.collect()) == [10, 11, 12]
+    for frame in (back, links):
+        assert "json" not in frame._jdf.queryExecution().optimizedPlan().toString()
