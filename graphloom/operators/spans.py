@@ -1,4 +1,4 @@
-"""Decoding of a span recogniser's scores into mentions, as array expressions.
+"""Decoding of a span recogniser's scores into mentions, by numpy in Arrow functions.
 
 A recogniser scores each (first word, width, label); its scores come as one flat array a text, in
 that order.  Decoding needs no model: sigmoid, threshold, places of the words in the text, and
@@ -7,72 +7,65 @@ suppression of spans that overlap a surer one.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_WIDTH, THRESHOLD = 12, 0.5
+WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 
 
-def words(text: Column) -> Column:
-    """Words between white space."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+def _kept(sure: np.ndarray, confidence: np.ndarray, n: int, max_width: int, count: int) -> list[tuple[int, int, int, float]]:
+    """``first, width, label, confidence`` of the candidates that stay, by first word; words that one holds are taken."""
+    taken, out = bytearray(count), []
+    order = np.lexsort((sure, -confidence))  # a score's place is its order by first word, width and label
+    for i, c in zip(sure[order].tolist(), confidence[order].tolist()):
+        first, width = i // (max_width * n), i // n % max_width
+        if 1 not in taken[first : first + width + 1]:
+            taken[first : first + width + 1] = b"\1" * (width + 1)
+            out.append((first, width, i % n, c))
+    return sorted(out)
 
 
-def places(text: Column) -> Column:
-    """``array<struct<start, end>>`` of each word, in code points: lengths of words and of the gaps between them, added up."""
-    gaps = F.transform(F.split(text, r"\S+"), F.length)
-    steps = F.zip_with(words(text), gaps, lambda w, gap: F.struct(gap.alias("gap"), F.length(w).alias("size")))
-    steps = F.filter(steps, lambda s: s["size"].isNotNull())  # what follows the last word is no gap before one
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def add(total: Column, s: Column) -> Column:
-        first = total["end"] + s["gap"]
-        last = first + s["size"]
-        return F.struct(last.alias("end"), F.concat(total["out"], F.array(F.struct(first.alias("start"), last.alias("end")))).alias("out"))
-
-    return F.aggregate(steps, start, add, lambda total: total["out"])
-
-
-def decoded(rows: DataFrame, labels: list[str], threshold: float = THRESHOLD, max_width: int = MAX_WIDTH, text_col: str = "text", scores_col: str = "scores") -> DataFrame:
-    """``rows`` with ``mentions``: ``array<struct<text, label, start, end, confidence>>`` by start.
+def decoded(rows: DataFrame, labels: list[str], threshold: float = THRESHOLD, max_width: int = MAX_WIDTH, text_col: str = "text", scores_col: str = "scores", scorer: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
+    """``rows`` with ``mentions``: ``array<struct<start, end, text, label, confidence>>`` by start.
 
     ``scores_col`` holds ``words x max_width x labels`` raw scores of the text, row by row; a
     missing or null score is no candidate.  A candidate is a span inside the text with a sigmoid of at least
     ``threshold``.  Of overlapping ones the surest stays (ties: the earlier first word, the
-    narrower, the earlier label).  A null or empty text, or no scores, has no mentions.  Texts are
-    chunks of a recogniser's window: the suppression compares candidates with those that stay.
+    narrower, the earlier label).  A null or empty text, or no scores, has no mentions.  A
+    ``scorer`` gives the scores of a text's words in place of the column, text by text, so they are
+    never held for more than one.  The suppression marks the words that are taken: texts may be long.
     """
     n = len(labels)
-    names = F.array(*[F.lit(x) for x in labels])
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    sigmoid = lambda s: 1 / (1 + F.exp(-s.cast("double")))
-
-    def candidates(row: Column) -> Column:
-        first = lambda i: F.floor(i / (max_width * n)).cast("int")
-        width = lambda i: F.pmod(F.floor(i / n), F.lit(max_width)).cast("int")
-        marked = F.transform(row["scores"], lambda s, i: F.struct(sigmoid(s).alias("confidence"), first(i).alias("first"), width(i).alias("width"), F.pmod(i, F.lit(n)).alias("label")))
-        sure = F.filter(marked, lambda c: (c["confidence"] >= threshold) & (c["first"] + c["width"] < F.size(row["words"])))
-
-        def span(c: Column) -> Column:
-            start = F.element_at(row["places"], c["first"] + 1)["start"]
-            end = F.element_at(row["places"], c["first"] + c["width"] + 1)["end"]
-            words_ = F.array_join(F.slice(row["words"], c["first"] + 1, c["width"] + 1), " ")
-            return F.struct((-c["confidence"]).alias("order"), c["first"].alias("first"), c["width"].alias("width"), c["label"].alias("number"), start.alias("start"), end.alias("end"), words_.alias("text"), F.element_at(names, c["label"] + 1).alias("label"))
-
-        return F.array_sort(F.transform(sure, span))
-
-    def flat(sure: Column) -> Column:
-        free = lambda kept, c: ~F.exists(kept, lambda k: (c["start"] < k["end"]) & (k["start"] < c["end"]))
-        kept = F.aggregate(sure, F.filter(sure, lambda c: F.lit(False)), lambda kept, c: F.when(free(kept, c), F.concat(kept, F.array(c))).otherwise(kept))
-        return F.array_sort(F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"), c["label"].alias("label"), (-c["order"]).alias("confidence"))))
-
-    scores = F.coalesce(F.col(scores_col), F.array().cast("array<double>"))
-    row = F.struct(words(text).alias("words"), places(text).alias("places"), scores.alias("scores"))
-    return rows.withColumn("mentions", _once(_once(row, candidates), flat))
-
 
-def _once(value: Column, of: Callable[[Column], Column]) -> Column:
-    """``of(value)`` with ``value`` computed once a row, not once for each element of a lambda that names it."""
-    return F.get(F.transform(F.array(value), of), F.lit(0))
+    def found(text: str | None, scores: np.ndarray | None, known: np.ndarray | None = None) -> list[tuple]:
+        words = list(WORD.finditer(text or ""))
+        scores = scorer([m.group() for m in words]) if scorer else scores
+        with np.errstate(over="ignore"):
+            confidence = 1 / (1 + np.exp(-scores))
+        sure = ~(confidence < threshold)  # what is not a number is sure, and the last to stay
+        at = np.nonzero(sure if known is None else sure & known)[0]
+        at = at[at // (max_width * n) + at // n % max_width < len(words)]
+        kept = _kept(at, confidence[at], n, max_width, len(words)) if len(at) else []
+        return [(words[f].start(), words[f + w].end(), " ".join(m.group() for m in words[f : f + w + 1]), labels[k], c) for f, w, k, c in kept]
+
+    def listed(out: list[list[tuple]]) -> pa.Array:
+        kinds = {"start": pa.int32(), "end": pa.int32(), "text": pa.string(), "label": pa.string(), "confidence": pa.float64()}
+        fields = [pa.array([m[i] for row in out for m in row], kind) for i, kind in enumerate(kinds.values())]
+        ends = np.cumsum([0, *map(len, out)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, list(kinds)))
+
+    kind = "array<struct<start:int,end:int,text:string,label:string,confidence:double>>"
+    if scorer:
+        return rows.withColumn("mentions", F.arrow_udf(lambda text: listed([found(t.as_py(), None) for t in text]), kind)(F.col(text_col)))
+
+    def of_columns(text: pa.Array, scores: pa.Array) -> pa.Array:
+        values = [s.values if s.is_valid else pa.array([], pa.float64()) for s in scores]
+        return listed([found(t.as_py(), v.to_numpy(zero_copy_only=False), v.is_valid().to_numpy(zero_copy_only=False)) for t, v in zip(text, values)])
+
+    return rows.withColumn("mentions", F.arrow_udf(of_columns, kind)(F.col(text_col), F.col(scores_col).cast("array<double>")))

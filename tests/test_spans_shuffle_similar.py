@@ -43,6 +43,16 @@ def test_spans_equal_a_loop(spark):
     assert got[1][0][:4] == (0, 4, "Juan", "person") and got[1][1][:3] == (16, 22, "Madrid")
 
 
+def test_spans_of_a_scorer_in_a_long_text(spark):
+    """A text without sentences is one chunk: 20,000 words and 480,000 scores, a tenth of them sure."""
+    scorer = lambda words: np.array([(i * 7 + len(w)) % 11 / 2 - 4.7 for i, w in enumerate(np.repeat(words, 24))])
+    rows = [(1, "of the York \u00fcn\U0001f600 City " * 4_000), (2, ""), (3, None), (4, "one")]
+    got = {r.id: [(m.start, m.end, m.text, m.label, round(m.confidence, 9)) for m in r.mentions] for r in spans.decoded(spark.createDataFrame(rows, "id long, text string"), LABELS, scorer=scorer).collect()}
+    short = " ".join(rows[0][1].split()[:60])
+    assert [m for m in got[1] if m[1] < 200] == [m for m in decode(short, list(scorer(short.split()))) if m[1] < 200]
+    assert len(got[1]) > 4_000 and got[2] == got[3] == [] and got[4] == decode("one", list(scorer(["one"])))
+
+
 def plain_shuffle(n, seed):
     a, state = list(range(n)), seed
     for i in range(n - 1, 0, -1):
