@@ -94,10 +94,9 @@ def fit(rows: list[tuple[str, int]]) -> dict:
         own.append(seen[y] % 3 != 2)
         seen[y] += 1
     in_toxic, in_ordinary, n = Counter(), Counter(), [0, 0]
-    found = [windows(t) for t, _ in rows]
-    for w, (_, y), learn in zip(found, rows, own):
+    for (t, y), learn in zip(rows, own):  # the words of one text at a time
         if learn:
-            (in_toxic if y else in_ordinary).update(set(w))
+            (in_toxic if y else in_ordinary).update(set(windows(t)))
             n[y] += 1
     weigh = {w: (k + 0.5) / (n[1] + 1) / ((in_ordinary[w] + 0.5) / (n[0] + 1)) for w, k in in_toxic.items() if k >= min(3, n[1])}
     bad = sorted((w for w, r in weigh.items() if r > 6), key=lambda w: (in_toxic[w], w))[-TOXIC_WINDOWS:]
@@ -105,7 +104,7 @@ def fit(rows: list[tuple[str, int]]) -> dict:
     model = {"share": share, "ordinary": b"".join(map(_wrap, plain)), "toxic": b"".join(map(_wrap, bad))}
     distance = Distance(model["ordinary"], model["toxic"])
     use = [i for i in range(len(rows)) if not own[i]]
-    x = np.array([features(found[i], distance) for i in use])
+    x = np.array([features(windows(rows[i][0]), distance) for i in use])
     y = np.array([rows[i][1] for i in use], float)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - mean) / scale, np.ones(len(x))]

@@ -64,3 +64,15 @@ def test_sample_is_bounded_in_rows(spark):
     got = toxicity.sample(docs, marks, F.lit(True), max_toxic=40, max_ordinary=10)
     assert sum(y for _, y in got) == 40 and [t for t, y in got if not y] == ["the same text"]
     assert got == toxicity.sample(docs.repartition(5), marks, F.lit(True), max_toxic=40, max_ordinary=10)
+
+
+def test_toxicity_fit_holds_the_words_of_one_text():
+    """The driver never holds all words of the sample: here 1.2 million, some 60 MB as a list of strings."""
+    import tracemalloc
+
+    rows = [(" ".join(f"word{(i * 7 + j) % 900}" for j in range(2_000)) + (" vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(600)]
+    tracemalloc.start()
+    model = toxicity.fit(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "weights" in model and peak < 20 << 20
