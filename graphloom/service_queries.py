@@ -475,8 +475,8 @@ def coded_search(spark, sf_dir, k: int = 10) -> tuple[DataFrame, DataFrame, int]
     book = codes.fit(v, cells)
     index = checkpointed(codes.coded(v, book))
     probes, rerank = -(-2 * cells // 3), max(k, n // 20)
-    found = codes.topk(asked(spark, sf_dir), v, index, book, k, probes, rerank)
-    return found, codes.candidates(asked(spark, sf_dir), index, book, probes, rerank), n
+    barred = checkpointed(codes.bars(asked(spark, sf_dir), index, book, probes, rerank))
+    return codes.topk_over(barred, v, index, book, k, probes), codes.candidates_over(barred, index, book, probes), n
 
 
 @query()

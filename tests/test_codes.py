@@ -33,3 +33,23 @@ def test_all_candidates_are_the_exact_search(spark):
     assert all(r["count"] <= 7 for r in few.groupBy("query_id").count().collect())
     assert codes.fit(v.limit(0), 6) is None
 
+
+
+def test_no_pair_of_query_and_candidate_is_shuffled(spark):
+    """Exact copies tie: the least ids are candidates, in any dealing of blocks, and only the best k of a block move."""
+    rnd = random.Random(8)
+    base = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(40)]
+    v = spark.createDataFrame([(i, base[i % 40]) for i in range(800)], "id long, embedding array<double>").repartition(5)
+    queries = v.where("id < 30").select(F.col("id").alias("query_id"), "embedding")
+    book = codes.fit(v, 4, parts=4)
+    index = codes.coded(v, book)
+    few = [(r.query_id, r.id) for r in codes.candidates(queries, index, book, 4, 50).collect()]
+    assert len(few) == len(set(few)) == 30 * 50
+    assert sorted(few) == sorted((r.query_id, r.id) for r in codes.candidates(queries, index, book, 4, 50, block_rows=64).collect())
+    for q in range(30):
+        own = {i for p, i in few if p == q}
+        assert all(j in own for i in own for j in range(i % 40, i, 40))  # of copies the least ids
+    top = codes.topk(queries, v, index, book, 5, 4, 50)
+    assert all(r.id in {i for p, i in few if p == r.query_id} for r in top.collect())
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan  # blocks meet, and give k rows a query
