@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,14 +13,17 @@ def per_query(retrieved: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """``query_id, recall, reciprocal_rank, ndcg, precision, f1`` at k.
 
     ``retrieved(query_id, rank, doc_id)`` counts ranks from 1; ``relevant(query_id, doc_id, grade)``.
-    A query with relevant documents and no hits scores 0.  The ideal order holds relevant documents only.
+    A query with relevant documents and no hits scores 0.  The ideal order holds relevant documents only,
+    and is made of counts of equal grades: no query's documents are sorted.
     """
     top = retrieved.where(F.col("rank") <= k)
     hits = top.join(relevant, ["query_id", "doc_id"])
     found = hits.groupBy("query_id").agg(F.countDistinct("doc_id").alias("distinct_hits"), F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first"), F.sum(F.col("grade") / F.log2(F.col("rank") + 1.0)).alias("dcg"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id"))
-    ideal = relevant.withColumn("_place", place)
-    truth = ideal.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("_place") <= k, F.col("grade") / F.log2(F.col("_place") + 1.0)).otherwise(0.0)).alias("idcg"))
+    runs = relevant.groupBy("query_id", "grade").agg(F.count(F.lit(1)).alias("c"))
+    runs = runs.withColumn("upto", F.sum("c").over(Window.partitionBy("query_id").orderBy(F.desc("grade"))))
+    discounts = F.array(*[F.lit(float(x)) for x in [0.0, *accumulate(1 / math.log2(p + 1.0) for p in range(1, k + 1))]])  # of the first places
+    of = lambda places: F.get(discounts, F.least(places, F.lit(k)).cast("int"))
+    truth = runs.groupBy("query_id").agg(F.sum("c").alias("n"), F.sum(F.col("grade") * (of(F.col("upto")) - of(F.col("upto") - F.col("c")))).alias("idcg"))
     shown = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("shown"))
     j = truth.join(found, "query_id", "left").join(shown, "query_id", "left").na.fill(0, ["distinct_hits", "hits", "shown"])
     recall, precision = F.col("distinct_hits") / F.col("n"), F.when(F.col("shown") > 0, F.col("hits") / F.col("shown")).otherwise(0.0)
