@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as tx
 from graphloom.operators import graph
 from graphloom.schema import NODE_TYPES
+from graphloom.storage import dealt
 
 # Roles in order of privilege.
 ROLES = ["viewer", "reader", "writer", "admin"]
@@ -77,17 +78,17 @@ def clone(nodes: DataFrame, edges: DataFrame, source: str, destination: str, nex
 
 def content_map(nodes: DataFrame, source: str, destination: str) -> DataFrame:
     """``(id, kept)``: where a source node's content lives: the least destination id of its key, else its key's least source id."""
-    keyed = nodes.withColumn("key", tx.key("content"))
+    keyed = dealt(nodes.select("id", namespace().alias("namespace"), tx.key("content").alias("key")), "key")
     there = keyed.where(namespace() == destination).groupBy("key").agg(F.min("id").alias("there"))
     here = keyed.where(namespace() == source)
     firsts = here.groupBy("key").agg(F.min("id").alias("here"))
-    return here.join(firsts, "key").join(there, "key", "left").select("id", F.coalesce("there", "here").alias("kept"))
+    return here.join(firsts.hint("merge"), "key").join(there.hint("merge"), "key", "left").select("id", F.coalesce("there", "here").alias("kept"))
 
 
 def merge(nodes: DataFrame, edges: DataFrame, source: str, destination: str, next_id: int) -> tuple[DataFrame, DataFrame]:
     """New nodes and edges that bring ``source`` into ``destination``; equal contents are not copied."""
     places = content_map(nodes, source, destination)
-    new = nodes.join(places.where("id = kept").select("id"), "id", "left_semi")
+    new = dealt(nodes, "id").join(places.where("id = kept").select("id"), "id", "left_semi")
     ids = renumbered(new, next_id)
     target = places.join(ids, F.col("kept") == F.col("old"), "left").select(F.col("id").alias("old_id"), F.coalesce("new", "kept").alias("new_id"))
     copies = new.join(ids, F.col("id") == F.col("old")).withColumn("id", F.col("new")).withColumn("namespace", F.lit(destination)).select(*nodes.columns)
