@@ -260,9 +260,11 @@ def messages_with_entities(messages: DataFrame, edges: DataFrame, nodes: DataFra
     The links are narrowed to messages and entities before names are gathered, so a list holds one message's names.
     """
     ids = messages.select(F.col("id").alias("_m"))
-    ends = edges.select(F.col("source").alias("_m"), F.col("target").alias("_e")).unionByName(edges.select(F.col("target").alias("_m"), F.col("source").alias("_e"))).distinct()
+    forth = edges.select(F.col("source").alias("_m"), F.col("target").alias("_e")).join(ids, "_m", "left_semi")
+    back = dealt(edges.select(F.col("target").alias("_m"), F.col("source").alias("_e")), "_m").join(ids, "_m", "left_semi")
+    ends = dealt(forth.unionByName(back), "_e", "_m").distinct()
     entity = nodes.where("node_type = 'Entity'").select(F.col("id").alias("_e"), F.col("content").alias("_name"))
-    names = ends.join(ids, "_m", "left_semi").join(entity, "_e").groupBy("_m").agg(F.sort_array(F.collect_set("_name")).alias("entities"))
+    names = ends.join(entity, "_e").groupBy("_m").agg(F.sort_array(F.collect_set("_name")).alias("entities"))
     out = messages.join(names, F.col("id") == F.col("_m"), "left").drop("_m")
     return out.withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
 
