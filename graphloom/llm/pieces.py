@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-WINDOW_BYTES = 4 << 20
+WINDOW_BYTES = 1 << 20
 #: Bytes of pieces, of their ids and of the table around them that a worker keeps between windows.
 KEPT_BYTES = 80 << 20
 ENTRY_BYTES = 200
