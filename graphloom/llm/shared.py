@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,6 +56,16 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver collects its garbage, of which a loop of small rounds makes little:
+    each round's files, some for every task, would stay.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -83,6 +94,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         after = _signature(e)
+        freed(e.sparkSession)
         if after == before:
             break
         before = after
