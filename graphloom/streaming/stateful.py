@@ -26,68 +26,90 @@ def use_rocks(spark: SparkSession) -> None:
 
 FACT = ["id", "object", "source_confidence", "timestamp"]
 FACT_TYPE = "id long, object string, source_confidence double, timestamp long"
+FIRSTS_TYPE = ", ".join(f"{which}_{c}" for which in ("first", "second") for c in FACT_TYPE.split(", "))
 PAIR = "subject long, predicate string, " + ", ".join(f"{age}_{c}" for age in ("old", "new") for c in ("id long", "object string", "source_confidence double", "timestamp long"))
 
 
+def _known(x) -> bool:
+    return x is not None and x == x
+
+
+def _placed(first: tuple | None, second: tuple | None, fact: tuple) -> tuple[tuple | None, tuple | None]:
+    """The earliest fact and the earliest one of another object, once ``fact`` is known too."""
+    before = lambda a, b: a[3] < b[3] or (a[3] == b[3] and _known(a[0]) and (not _known(b[0]) or a[0] < b[0]))
+    if first is None or before(fact, first):
+        return fact, second if first is None or first[1] == fact[1] else first
+    if fact[1] != first[1] and (second is None or before(fact, second)):
+        return first, fact
+    return first, second
+
+
 class _Firsts(StatefulProcessor):
-    """Of each (subject, predicate): the earliest accepted fact, and the earliest one of another object."""
+    """Of each (subject, predicate): the earliest accepted fact, and the earliest one of another object.
+
+    A key has few rows, so its cost is that of its calls: plain lists instead of frame operations,
+    one state read, at most one written, and one frame out for the frames that are held.
+    """
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.firsts = [handle.getValueState(name, FACT_TYPE, self.ttl_ms) for name in ("first", "second")]
+        self.firsts = handle.getValueState("firsts", FIRSTS_TYPE, self.ttl_ms)
         self.waiting = handle.getListState("waiting", FACT_TYPE + ", state string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held, spilled = [], False
-        known = pd.DataFrame([s.get() for s in self.firsts if s.exists()], columns=FACT)
-        before = known
+        held: list = [[] for _ in FACT]
+        frames, spilled = 0, False
+        kept = self.firsts.get()
+        before = (tuple(kept[:4]), None if kept[7] is None else tuple(kept[4:])) if kept is not None else (None, None)
+        first, second = before
         for frame in rows:
-            frame = frame[[*FACT, "state"]]
-            known = self._earliest(pd.concat([known, frame.loc[frame["state"] == "Accepted", FACT]]) if len(known) else frame.loc[frame["state"] == "Accepted", FACT])
-            if len(held) < FRAMES:
-                held.append(frame)
+            columns = [frame[c].tolist() for c in FACT]
+            for *fact, state in zip(*columns, frame["state"].tolist()):
+                if state == "Accepted" and fact[1] is not None and _known(fact[3]):
+                    first, second = _placed(first, second, tuple(fact))
+            if frames < FRAMES:
+                frames += 1
+                for some, more in zip(held, columns):
+                    some += more
             else:
                 spilled = True
-                self.waiting.appendList([tuple(None if pd.isna(v) else v for v in r) for r in frame.astype(object).to_numpy().tolist()])
-        if not known.equals(before):
-            for state, fact in zip(self.firsts, known.astype(object).to_numpy().tolist()):
-                state.update((int(fact[0]), fact[1], None if pd.isna(fact[2]) else float(fact[2]), int(fact[3])))
-        if len(known):
-            for frame in held:
-                yield self._pairs(key, known, frame)
+                self.waiting.appendList([tuple(x if _known(x) else None for x in r) for r in zip(*columns, frame["state"].tolist())])
+        if (first, second) != before:
+            self.firsts.update((*self._plain(first), *self._plain(second)))
+        if first is not None:
+            yield from self._pairs(key, first, second, zip(*held))
             if spilled:
                 part: list = []
                 for row in self.waiting.get():
-                    part.append(row)
+                    part.append(row[:4])
                     if len(part) == 10_000:
-                        yield self._pairs(key, known, pd.DataFrame(part, columns=[*FACT, "state"]))
+                        yield from self._pairs(key, first, second, part)
                         part = []
-                yield self._pairs(key, known, pd.DataFrame(part, columns=[*FACT, "state"]))
+                yield from self._pairs(key, first, second, part)
         if spilled:
             self.waiting.clear()
 
     @staticmethod
-    def _earliest(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["object"].notna() & rows["timestamp"].notna()].sort_values(["timestamp", "id"])
-        first = rows.head(1)
-        return pd.concat([first, rows[rows["object"] != first["object"].iloc[0]].head(1)]) if len(first) else first
+    def _plain(fact: tuple | None) -> tuple:
+        if fact is None:
+            return (None,) * 4
+        return int(fact[0]) if _known(fact[0]) else None, fact[1], float(fact[2]) if _known(fact[2]) else None, int(fact[3])
 
     @staticmethod
-    def _pairs(key, known: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        """Each new fact with the earliest known one of another object, if that is earlier."""
-        first, second = known.iloc[0], known.iloc[1] if len(known) > 1 else None
-        new = new[new["object"].notna() & new["timestamp"].notna()]
-        other = new["object"] != first["object"]
-        out = []
-        for old, part in ((first, new[other]), (second, new[~other])):
-            if old is not None and len(part):
-                later = (part["timestamp"] > old["timestamp"]) | ((part["timestamp"] == old["timestamp"]) & (part["id"] > old["id"]))
-                part = part.loc[later, FACT].rename(columns=lambda c: f"new_{c}")
-                part = part.assign(subject=key[0], predicate=key[1], **{f"old_{c}": old[c] for c in FACT})
-                out.append(part[["subject", "predicate", *[f"old_{c}" for c in FACT], *[f"new_{c}" for c in FACT]]])
-        return pd.concat(out) if out else pd.DataFrame(columns=["subject", "predicate", *[f"{a}_{c}" for a in ("old", "new") for c in FACT]])
+    def _pairs(key, first: tuple, second: tuple | None, facts) -> Iterator[pd.DataFrame]:
+        """Each new fact with the earliest known one of another object, if that is earlier; a frame, or none."""
+        pairs = []
+        for new in facts:
+            if new[1] is None or not _known(new[3]):
+                continue
+            old = second if new[1] == first[1] else first
+            if old is not None and (new[3] > old[3] or (new[3] == old[3] and _known(new[0]) and _known(old[0]) and new[0] > old[0])):
+                pairs.append((*old, *new))
+        if pairs:
+            columns = dict(zip((f"{age}_{c}" for age in ("old", "new") for c in FACT), map(list, zip(*pairs))))
+            yield pd.DataFrame({"subject": [key[0]] * len(pairs), "predicate": [key[1]] * len(pairs), **columns})
 
     def close(self) -> None:
         pass
