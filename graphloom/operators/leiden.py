@@ -10,20 +10,27 @@ into takers and givers, and nodes only go from givers to takers.  All that ask f
 they gain together, even if all others had left their givers before; else a node goes if its gain
 holds even if all others had come and left before, or if it is the best for its taker and its
 giver.  Every bound is an aggregate by community, so no community is gathered in a task.
+
+Links stay dealt by their first end while a level lasts, and up to ``MOST_SENT`` nodes what belongs
+to a node or community goes to them by broadcast, so a turn shuffles rows of nodes but none of links.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph
-from graphloom.storage import checkpointed, dropped
+from graphloom.storage import checkpointed, dropped, file_bytes
 
 SCALE = 1 << 20
 EDGE = 1e-6  #: scaled weights are whole, so smaller gains are rounding
 RESOLUTION = 0.25
 MOVE_TURNS, MERGE_TURNS, MAX_LEVELS = 12, 6, 12  #: what a level leaves open, the next one goes on with
+#: Nodes of a level up to which its tables of nodes are broadcast; bytes of written links for each task.
+MOST_SENT, LINK_BYTES = 1_000_000, 1 << 20
 
 
 def undirected(edges: DataFrame, weighted: bool = True) -> DataFrame:
@@ -36,7 +43,15 @@ def undirected(edges: DataFrame, weighted: bool = True) -> DataFrame:
     return pair.groupBy("a", "b").agg(F.max("w").alias("w"))
 
 
-def _parted(asked: DataFrame, turn: int, own: str) -> DataFrame:
+def _laid(links: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The links of a level and a link of weight 0 from each node to itself, kept dealt by ``a``; and how tables of nodes are sent to them."""
+    sent = F.broadcast if nodes.count() <= MOST_SENT else lambda df: df
+    tasks = max(1, -(-file_bytes(links) // LINK_BYTES))
+    near = links.unionByName(nodes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).cast("long").alias("w")))
+    return near.repartition(tasks, "a").persist(), sent
+
+
+def _parted(asked: DataFrame, turn: int, own: str, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The asked moves that go from a giver to a taker.
 
     Communities are ordered by the gain that asks for them (ties by a hash of the turn).  One
@@ -45,13 +60,13 @@ def _parted(asked: DataFrame, turn: int, own: str) -> DataFrame:
     """
     order = lambda label, flow: F.struct(F.coalesce(flow, F.lit(0.0)), F.xxhash64(label, F.lit(turn)), F.col(label))
     flow = asked.groupBy("target").agg(F.round(F.sum("gain"), 3).alias("flow"))
-    up = asked.join(flow, "target").join(flow.select(F.col("target").alias(own), F.col("flow").alias("own_flow")), own, "left")
+    up = asked.join(sent(flow), "target").join(sent(flow.select(F.col("target").alias(own), F.col("flow").alias("own_flow"))), own, "left")
     up = up.where(F.col("free") | (order(own, F.col("own_flow")) < order("target", F.col("flow")))).drop("flow", "own_flow")
     givers = up.select(F.col(own).alias("target")).distinct()
-    return up.where("free").unionByName(up.where("not free").join(givers, "target", "left_anti"))
+    return up.where("free").unionByName(up.where("not free").join(sent(givers), "target", "left_anti"))
 
 
-def _granted(asked: DataFrame, links: DataFrame, r: float, own: str) -> DataFrame:
+def _granted(asked: DataFrame, links: DataFrame, r: float, own: str, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``(id, target)`` of the moves that are made.
 
     All that ask for a taker go if together they bring more than the best of them alone, the
@@ -60,27 +75,30 @@ def _granted(asked: DataFrame, links: DataFrame, r: float, own: str) -> DataFram
     """
     first = F.max_by("id", F.struct("gain", F.bitwise_not("id")))
     of = asked.groupBy(own).agg(F.sum("size").alias("going"), first.alias("best_out"))
-    asked = asked.join(of, own).withColumn("net", F.col("gain") - r * F.col("size") * (F.col("going") - F.col("size")))
-    end = lambda name: asked.select(F.col("id").alias(name), F.col("target").alias(f"t{name}"))
+    asked = asked.join(sent(of), own).withColumn("net", F.col("gain") - r * F.col("size") * (F.col("going") - F.col("size")))
+    end = lambda name: sent(asked.select(F.col("id").alias(name), F.col("target").alias(f"t{name}")))
     among = links.where("a < b").join(end("a"), "a").join(end("b"), "b").where("ta = tb").groupBy(F.col("ta").alias("target")).agg(F.sum("w").alias("among"))
     to = asked.groupBy("target").agg(F.sum("size").alias("coming"), F.sum(F.col("size") * F.col("size")).alias("squares"), F.sum("net").alias("nets"), F.max("gain").alias("top"), first.alias("best_in"))
-    to = to.join(among, "target", "left")
+    to = to.join(sent(among), "target", "left")
     joint = F.col("nets") + F.coalesce("among", F.lit(0)) - r / 2 * (F.col("coming").cast("double") * F.col("coming") - F.col("squares"))
     sure = F.col("net") - r * F.col("size") * (F.col("coming") - F.col("size")) > EDGE
     best = (F.col("id") == F.col("best_in")) & (F.col("id") == F.col("best_out"))
-    return asked.join(to, "target").where((joint > F.col("top") + EDGE) | sure | best).select("id", "target")
+    return asked.join(sent(to), "target").where((joint > F.col("top") + EDGE) | sure | best).select("id", "target")
 
 
-def _moved(nodes: DataFrame, links: DataFrame, r: float, max_turns: int) -> tuple[DataFrame, bool]:
-    """Local moves until none gains or the turns are over: ``nodes`` ``(id, size, comm)`` with new communities, and whether any node moved."""
+def _moved(nodes: DataFrame, links: DataFrame, r: float, max_turns: int, sent: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, bool]:
+    """Local moves until none gains or the turns are over: ``nodes`` ``(id, size, comm)`` with new communities, and whether any node moved.
+
+    ``links`` are those of ``_laid``: a node's link to itself votes for its own community and for being alone.
+    The first table of nodes, which they are made of, stays.
+    """
     any_moved = False
     for turn in range(max_turns):
         sums = nodes.groupBy("comm").agg(F.sum("size").alias("whole"))
-        around = links.join(nodes.select(F.col("id").alias("b"), F.col("comm").alias("label")), "b").select("a", "label", "w")
-        alone = nodes.where("id <> comm").select(F.col("id").alias("a"), F.col("id").alias("label"), F.lit(0).cast("long").alias("w"))
-        own = nodes.select(F.col("id").alias("a"), F.col("comm").alias("label"), F.lit(0).cast("long").alias("w"))
-        votes = around.unionByName(alone).unionByName(own).groupBy("a", "label").agg(F.sum("w").alias("w"))
-        scored = votes.join(sums.select(F.col("comm").alias("label"), "whole"), "label", "left").join(nodes.withColumnRenamed("id", "a"), "a")
+        around = links.join(sent(nodes.select(F.col("id").alias("b"), F.col("comm").alias("label"))), "b")
+        labels = F.when(F.col("a") == F.col("b"), F.array("label", "a")).otherwise(F.array("label"))
+        votes = around.select("a", F.explode(labels).alias("label"), "w").groupBy("a", "label").agg(F.sum("w").alias("w"))
+        scored = votes.join(sent(sums.select(F.col("comm").alias("label"), "whole")), "label", "left").join(sent(nodes.withColumnRenamed("id", "a")), "a")
         stays = F.col("label") == F.col("comm")
         whole = F.coalesce("whole", F.lit(0)) - F.when(stays, F.col("size")).otherwise(0)
         scored = scored.withColumn("gain", F.col("w") - r * F.col("size") * whole).withColumn("free", F.col("whole").isNull())
@@ -91,49 +109,50 @@ def _moved(nodes: DataFrame, links: DataFrame, r: float, max_turns: int) -> tupl
         if asked.isEmpty():
             dropped(asked)
             return nodes, any_moved
-        gone = _granted(_parted(asked, turn, "comm"), links, r, "comm")
-        after = checkpointed(nodes.join(gone, "id", "left").select("id", "size", F.coalesce("target", "comm").alias("comm")))
-        dropped(asked, nodes)
+        gone = _granted(_parted(asked, turn, "comm", sent), links, r, "comm", sent)
+        after = checkpointed(nodes.join(sent(gone), "id", "left").select("id", "size", F.coalesce("target", "comm").alias("comm")))
+        dropped(asked, *([nodes] if any_moved else []))
         nodes, any_moved = after, True
     return nodes, any_moved
 
 
-def _refined(nodes: DataFrame, links: DataFrame, r: float, max_turns: int) -> tuple[DataFrame, bool]:
+def _refined(nodes: DataFrame, links: DataFrame, r: float, max_turns: int, sent: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, bool]:
     """``(id, size, comm, ref)``: each community parted into connected groups ``ref``, and whether any group has two nodes.
 
     All start alone.  A node that is well connected with its community joins, once and for good,
     the group of that community with the largest gain, if the group is well connected too.
     """
-    com = lambda end: nodes.select(F.col("id").alias(end), F.col("comm").alias(f"c{end}"))
-    inner = checkpointed(links.join(com("a"), "a").join(com("b"), "b").where("ca = cb").select("a", "b", "w"))
+    com = lambda end: sent(nodes.select(F.col("id").alias(end), F.col("comm").alias(f"c{end}")))
+    inner = links.where("a <> b").join(com("a"), "a").join(com("b"), "b").where("ca = cb").select("a", "b", "w").persist()
     sums = nodes.groupBy("comm").agg(F.sum("size").alias("whole"))
     ties = inner.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("tie"))
-    state = nodes.join(sums, "comm").join(ties, "id", "left")
+    state = nodes.join(sent(sums), "comm").join(sent(ties), "id", "left")
     well = F.coalesce("tie", F.lit(0)) >= r * F.col("size") * (F.col("whole") - F.col("size"))
     state = checkpointed(state.select("id", "size", "comm", "whole", well.alias("well"), F.col("id").alias("ref"), F.lit(True).alias("lone")))
     merged = False
     for turn in range(max_turns):
-        ref = lambda end: state.select(F.col("id").alias(end), F.col("ref").alias(f"r{end}"))
-        votes = inner.join(ref("a"), "a").join(ref("b"), "b").where("ra <> rb").groupBy("a", "ra", "rb").agg(F.sum("w").alias("w"))
-        votes = checkpointed(votes)
+        ref = lambda end: sent(state.select(F.col("id").alias(end), F.col("ref").alias(f"r{end}")))
+        votes = inner.join(ref("a"), "a").join(ref("b"), "b").where("ra <> rb").groupBy("a", "ra", "rb").agg(F.sum("w").alias("w")).persist()
         out = votes.groupBy(F.col("ra").alias("ref")).agg(F.sum("w").alias("out"))
-        groups = state.groupBy("ref", "whole").agg(F.sum("size").alias("sum"), F.count(F.lit(1)).alias("n")).join(out, "ref")
+        groups = state.groupBy("ref", "whole").agg(F.sum("size").alias("sum"), F.count(F.lit(1)).alias("n")).join(sent(out), "ref")
         groups = groups.where(F.col("out") >= r * F.col("sum") * (F.col("whole") - F.col("sum"))).select(F.col("ref").alias("rb"), "sum", (F.col("n") > 1).alias("free"))
         movers = state.where("lone and well").select(F.col("id").alias("a"), "size")
-        scored = votes.join(movers, "a").join(groups, "rb").withColumn("gain", F.col("w") - r * F.col("size") * F.col("sum")).where(F.col("gain") > EDGE)
+        scored = votes.join(sent(movers), "a").join(sent(groups), "rb").withColumn("gain", F.col("w") - r * F.col("size") * F.col("sum")).where(F.col("gain") > EDGE)
         asked = scored.groupBy(F.col("a").alias("id"), "size").agg(F.max_by(F.struct("rb", "gain", "free"), F.struct("gain", F.xxhash64("a", "rb"), "rb")).alias("best"))
         asked = checkpointed(asked.select("id", "size", F.col("id").alias("own"), F.col("best.rb").alias("target"), F.col("best.gain").alias("gain"), F.col("best.free").alias("free")))
         if asked.isEmpty():
-            dropped(asked, votes)
+            dropped(asked)
+            votes.unpersist()
             break
-        gone = _granted(_parted(asked, turn, "own"), inner, r, "own")
+        gone = _granted(_parted(asked, turn, "own", sent), inner, r, "own", sent)
         grown = gone.select(F.col("target").alias("id")).distinct().withColumn("grown", F.lit(True))
-        after = state.join(gone, "id", "left").join(grown, "id", "left")
+        after = state.join(sent(gone), "id", "left").join(sent(grown), "id", "left")
         lone = F.col("lone") & F.col("target").isNull() & F.col("grown").isNull()
         after = checkpointed(after.select("id", "size", "comm", "whole", "well", F.coalesce("target", "ref").alias("ref"), lone.alias("lone")))
-        dropped(asked, votes, state)
+        votes.unpersist()
+        dropped(asked, state)
         state, merged = after, True
-    dropped(inner)
+    inner.unpersist()
     return state, merged
 
 
@@ -165,16 +184,20 @@ def leiden(edges: DataFrame, quality: str = "cpm", resolution: float = RESOLUTIO
     nodes = checkpointed(nodes.select("id", "size", comm.alias("comm")))
     member = checkpointed(nodes.select(F.col("id").alias("node_id"), "id"))
     for _ in range(max_levels):
-        nodes, any_moved = _moved(nodes, links, r, move_turns)
-        state, merged = _refined(nodes, links, r, merge_turns)
+        first = nodes
+        near, sent = _laid(links, first)
+        nodes, any_moved = _moved(first, near, r, move_turns, sent)
+        state, merged = _refined(nodes, near, r, merge_turns, sent)
         if not merged:
-            dropped(state)
+            near.unpersist()
+            dropped(state, *([first] if any_moved else []))
             break
-        ref = lambda end: state.select(F.col("id").alias(end), F.col("ref").alias(f"r{end}"))
-        between = links.join(ref("a"), "a").join(ref("b"), "b").where("ra <> rb").groupBy(F.col("ra").alias("a"), F.col("rb").alias("b")).agg(F.sum("w").alias("w"))
+        ref = lambda end: sent(state.select(F.col("id").alias(end), F.col("ref").alias(f"r{end}")))
+        between = near.join(ref("a"), "a").join(ref("b"), "b").where("ra <> rb").groupBy(F.col("ra").alias("a"), F.col("rb").alias("b")).agg(F.sum("w").alias("w"))
         named = state.groupBy("comm").agg(F.min("ref").alias("name"))
-        after = checkpointed(between), checkpointed(state.join(named, "comm").groupBy(F.col("ref").alias("id")).agg(F.sum("size").alias("size"), F.first("name").alias("comm"))), checkpointed(member.join(state.select("id", "ref"), "id").select("node_id", F.col("ref").alias("id")))
-        dropped(links, nodes, member, state)
+        after = checkpointed(between), checkpointed(state.join(named, "comm").groupBy(F.col("ref").alias("id")).agg(F.sum("size").alias("size"), F.first("name").alias("comm"))), checkpointed(member.join(sent(state.select("id", "ref")), "id").select("node_id", F.col("ref").alias("id")))
+        near.unpersist()
+        dropped(links, nodes, member, state, *([first] if any_moved else []))
         links, nodes, member = after
     placed = checkpointed(member.join(nodes.select("id", "comm"), "id").select("node_id", "comm"))
     end = lambda name: placed.select(F.col("node_id").alias(name), F.col("comm").alias(f"c{name}"))
