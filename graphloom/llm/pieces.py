@@ -173,10 +173,10 @@ def _line_break(path: str) -> int | None:
 
 
 class Encoder:
-    """Ids of pieces; each distinct piece is encoded once, as long as the kept table holds it."""
+    """Ids of pieces; each distinct piece is encoded once, as long as the kept table of at most ``kept_bytes`` holds it."""
 
-    def __init__(self, path: str):
-        self.path, self.kept, self.older, self.size = path, {}, {}, 0
+    def __init__(self, path: str, kept_bytes: int | None = None):
+        self.path, self.kept_bytes, self.kept, self.older, self.size = path, KEPT_BYTES if kept_bytes is None else kept_bytes, {}, {}, 0
         load_tokenizer(path)
         self.line_break = held(path, "line break", lambda: (_line_break(path),))[0]
 
@@ -215,9 +215,9 @@ class Encoder:
             values[i] = ids
         fresh = [i for i in old if len(distinct[i]) <= LONGEST_KEPT]
         size = sum(len(distinct[i]) + len(values[i]) + ENTRY_BYTES for i in fresh)
-        if self.size + size > KEPT_BYTES // 2:  # what was not met since the last turn is given up
+        if self.size + size > self.kept_bytes // 2:  # what was not met since the last turn is given up
             self.older, self.kept, self.size = self.kept, {}, 0
-        if size <= KEPT_BYTES // 2:
+        if size <= self.kept_bytes // 2:
             self.kept.update((distinct[i], values[i]) for i in fresh)
             self.size += size
         return coded.indices.to_numpy(zero_copy_only=False), values

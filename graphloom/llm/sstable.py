@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import pieces
-from graphloom.llm.shared import checkpointed, scratch_path
+from graphloom.llm.shared import arrow_batches, checkpointed, scratch_path
 
 MAGIC = b"GLSST001"
 FOOTER = struct.Struct("<QQQQQQQ8s")
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS_PER_KEY, BLOOM_PROBES = 10, 7
 SHARD_BYTES = 64 << 20
+#: Bytes of a batch of texts, and of the table of pieces that a worker keeps: an executor has a worker a core beside its heap.
+BATCH_BYTES, KEPT_BYTES = 2 << 20, 48 << 20
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -211,7 +213,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = pieces.Encoder(tokenizer_path) if splits else None
+        encoder = pieces.Encoder(tokenizer_path, KEPT_BYTES) if splits else None
         writer, out, end = None, None, np.array([] if end_id is None else [end_id], "<u4")
         size = id_width or (2 if _vocabulary(tokenizer_path) <= 1 << 16 else 4)
         fs, root = file_system(folder)
@@ -232,7 +234,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             uri = f"{folder}/shard-{shard:06d}.sst"
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (uri, pa.string()), (writer.entries, pa.int64()), (writer.tokens, pa.int64()))], ["shard", "uri", "n_docs", "n_tokens"])
 
-    manifest = checkpointed(dealt.mapInArrow(run, "shard int, uri string, n_docs long, n_tokens long"))
+    with arrow_batches(spark, BATCH_BYTES):
+        manifest = checkpointed(dealt.mapInArrow(run, "shard int, uri string, n_docs long, n_tokens long"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
