@@ -262,7 +262,7 @@ def messages_with_entities(messages: DataFrame, edges: DataFrame, nodes: DataFra
     ids = messages.select(F.col("id").alias("_m"))
     forth = edges.select(F.col("source").alias("_m"), F.col("target").alias("_e")).join(ids, "_m", "left_semi")
     back = dealt(edges.select(F.col("target").alias("_m"), F.col("source").alias("_e")), "_m").join(ids, "_m", "left_semi")
-    ends = dealt(forth.unionByName(back), "_e", "_m").distinct()
+    ends = forth.unionByName(back)  # a name is gathered once however many links there are, so they are not made distinct
     entity = nodes.where("node_type = 'Entity'").select(F.col("id").alias("_e"), F.col("content").alias("_name"))
     names = ends.join(entity, "_e").groupBy("_m").agg(F.sort_array(F.collect_set("_name")).alias("entities"))
     out = messages.join(names, F.col("id") == F.col("_m"), "left").drop("_m")
