@@ -72,3 +72,38 @@ def test_a_hub_is_not_walked_through_and_out(spark, monkeypatch):
     pairs = spark.createDataFrame([(5_000, 5_001)], "start long, goal long")
     assert [r.nodes for r in graph.simple_paths(frame, pairs, 4).collect()] == [[5_000, 1, 0, 2, 5_001]]
     assert written and max(written) <= 3
+
+
+def test_path_counts_equal_the_paths(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK_ENDS", 2)
+    monkeypatch.setattr(graph.blocks, "TILE_COLUMNS", 1)
+    monkeypatch.setattr(graph.blocks, "TILE_ROWS", 3)
+    rnd = random.Random(10)
+    edges = [(rnd.randrange(12), rnd.randrange(12), rnd.choice("ab")) for _ in range(30)] + [(i, 50, "a") for i in range(12)] + [(50, 0, "b"), (3, 3, "a"), (None, 3, "a"), (7, None, "a")]
+    frame = spark.createDataFrame([(a, b, t, 1.0) for a, b, t in edges], "source long, target long, edge_type string, weight double")
+    ids = spark.createDataFrame([(x,) for x in [0, 1, 2, 3, 5, 77, 0]], "id long")
+    ends = spark.createDataFrame([(x,) for x in [5, 6, 7, 8, 9, 0, 6]], "goal long")
+    for hops in (1, 2, 3, 4):
+        paths = graph.paths_between(frame, ids, ends, hops).groupBy("start", "goal", "hops").count()
+        got = graph.path_counts(frame, ids, ends, hops).select("start", "goal", "hops", "paths")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, paths.collect()))
+        if hops > 3:
+            assert got.count() > 0
+
+
+def test_path_counts_send_walks_and_no_pairs(spark, monkeypatch):
+    """200 starts and 300 goals around one node: 60,000 pairs come out, 500 rows go to the blocks."""
+    rows = [(i, 0, "a", 1.0) for i in range(1, 501)] + [(1, 600, "a", 1.0), (600, 201, "a", 1.0)]
+    frame = spark.createDataFrame(rows, "source long, target long, edge_type string, weight double")
+    moved, keep = [], graph._sent_counts
+
+    def counted(*given):
+        out = keep(*given)
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "_sent_counts", counted)
+    found = graph.path_counts(frame, spark.range(1, 201), spark.range(201, 501).toDF("goal"), 3)
+    got = {(r.start, r.goal, r.hops): r.paths for r in found.collect()}
+    assert got == {(a, b, 2): 1 + ((a, b) == (1, 201)) for a in range(1, 201) for b in range(201, 501)}
+    assert moved and max(moved) <= 510
