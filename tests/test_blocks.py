@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from graphloom.operators import blocks, communities, graph, scoring, similar, vectors
+from pyspark.sql import functions as F
 
 
 @pytest.fixture
@@ -97,3 +98,21 @@ def test_vectors_are_sent_to_few_blocks(spark, monkeypatch):
     m = np.array([r.embedding for r in v.orderBy("id").collect()])
     want = np.argsort(-(m @ m.T), axis=1, kind="stable")[:, :3]
     assert len(seen) == 1 and got == {(i, r + 1): int(want[i, r]) for i in range(300) for r in range(3)}
+
+
+def test_items_of_a_group_are_sent_to_few_blocks(spark):
+    """5,000 items of one group: each goes once to each of 4 blocks, not to 5 on either side."""
+    rows = spark.range(5_000).selectExpr("id", "1 as k", "array(id) as members")
+    sent = blocks.paired(rows, ["k"], F.size("members"))
+    assert sent.count() == 4 * 5_000
+    assert sent.select("id", "_low", "_high").distinct().count() == 4 * 5_000
+    assert blocks.paired(rows, ["k"], F.lit(8_000)).where("id = 7").count() == 10
+
+
+def test_every_pair_of_a_group_comes_once(spark, monkeypatch):
+    for name, value in (("PAIRED_ROWS", 3), ("WITHIN_ROWS", 7)):
+        monkeypatch.setattr(blocks, name, value)
+    items = spark.range(45).selectExpr("id", "id % 2 as k")
+    sets = spark.range(45).selectExpr("id", "id % 5 as member")
+    got = [(r.a, r.b, r.jaccard) for r in communities.jaccard_within(sets, items, ["k"]).collect()]
+    assert sorted(got) == [(a, b, float(a % 5 == b % 5)) for a in range(45) for b in range(a + 1, 45) if a % 2 == b % 2]
