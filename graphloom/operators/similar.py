@@ -40,19 +40,30 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
     return (ranked.where(F.col("at") <= F.col("n") - need + 1) if least > 0 else ranked).select("id", "member", "n")
 
 
-def _hot(entities: DataFrame, sets: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b, jaccard, cosine)`` of pairs that reach ``threshold`` among the entities of each member of ``first`` ``(id, member)``.
+def _hot(entities: DataFrame, sets: DataFrame, first: DataFrame, often: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b, jaccard, cosine)`` of pairs that reach ``threshold`` among the entities of each member of ``often`` ``(member)``, by their ``first`` ``(id, member)``.
 
     Sets and vectors go with the entity to the blocks of its member, so only pairs that reach the
-    threshold leave a task.  A pair may come once for each member that it shares.
+    threshold leave a task.  A pair comes once: at the least member of ``often`` that it shares, if
+    it shares no other first member, by which ``sharing`` finds it.
     """
     whole = sets.distinct().groupBy("id").agg(F.collect_set("member").alias("members"))
     dim = F.coalesce(F.size("embedding"), F.lit(-1))
-    rows = first.select("id", F.col("member").alias("key")).join(whole, "id").join(entities.select("id", F.col("embedding").alias("v"), dim.alias("dim")), "id").select("key", "id", "members", "v", "dim")
+    marked = first.join(often.select("member", F.lit(True).alias("hot")), "member", "left")
+    of = marked.groupBy("id").agg(F.collect_set(F.when(F.col("hot"), F.col("member"))).alias("hot"), F.collect_set(F.when(F.col("hot").isNull(), F.col("member"))).alias("rare"))
+    of = of.where(F.size("hot") > 0).join(whole, "id").join(entities.select("id", F.col("embedding").alias("v"), dim.alias("dim")), "id")
+    rows = of.select(F.explode("hot").alias("key"), "id", "members", "hot", "rare", "v", "dim")
+    rows = rows.select("key", "id", "members", F.concat("rare", F.filter("hot", lambda m: m < F.col("key"))).alias("before"), "v", "dim")
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+    def run(a: pa.Table, b: pa.Table, asked: np.ndarray) -> pa.Table:
         ai, bi = a["id"].to_numpy(), b["id"].to_numpy()
-        jaccard = blocks.jaccard(a["members"].to_numpy(), b["members"].to_numpy())
+
+        def of_kinds(column, f):  # many entities have equal sets
+            (x, xi), (y, yi) = blocks.kinds(a[column].to_numpy()), blocks.kinds(b[column].to_numpy())
+            return f(x, y)[xi][:, yi]
+
+        asked = asked & (of_kinds("before", blocks.common) == 0)
+        jaccard = of_kinds("members", blocks.jaccard)
         cosine, da, db = np.zeros(jaccard.shape), a["dim"].to_numpy(), b["dim"].to_numpy()
         for d in np.intersect1d(da[da > 0], db):
             i, j = np.nonzero(da == d)[0], np.nonzero(db == d)[0]
@@ -60,11 +71,12 @@ def _hot(entities: DataFrame, sets: DataFrame, first: DataFrame, threshold: floa
             n = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
             dot = x @ y.T
             cosine[np.ix_(i, j)] = np.where(np.isnan(n), 0.0, np.divide(dot, n, out=np.zeros_like(dot), where=n > 0))
-        i, j = np.nonzero((JACCARD_WEIGHT * jaccard + COSINE_WEIGHT * cosine >= threshold) & (ai[:, None] < bi[None, :]))
-        return pa.table([ai[i], bi[j], jaccard[i, j], cosine[i, j]], names=["a", "b", "jaccard", "cosine"])
+        i, j = np.nonzero((JACCARD_WEIGHT * jaccard + COSINE_WEIGHT * cosine >= threshold) & asked)
+        return pa.table([np.minimum(ai[i], bi[j]), np.maximum(ai[i], bi[j]), jaccard[i, j], cosine[i, j]], names=["a", "b", "jaccard", "cosine"])
 
     id_type = entities.schema["id"].dataType.simpleString()
-    return blocks.met(rows, rows, ["key"], blocks.PAIRED_ROWS, run, f"a {id_type}, b {id_type}, jaccard double, cosine double")
+    values = F.size("members") + F.size("before") + F.greatest("dim", F.lit(0))
+    return blocks.within(rows, ["key"], values, run, f"a {id_type}, b {id_type}, jaccard double, cosine double")
 
 
 def pairs(entities: DataFrame, edges: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -83,7 +95,7 @@ def pairs(entities: DataFrame, edges: DataFrame, threshold: float = 0.5) -> Data
     least = (threshold - COSINE_WEIGHT) / JACCARD_WEIGHT
     first = _prefixes(sets, least)
     often = first.groupBy("member").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > blocks.SMALL)
-    hot = _hot(entities, sets, first.join(often, "member", "left_semi"), threshold)
+    hot = _hot(entities, sets, first, often, threshold)
     found = sharing(sets, least, often)
     if least <= SLACK:
         unit = entities.where("embedding is not null").select("id", vector.normalised("embedding").alias("embedding"))
@@ -91,7 +103,9 @@ def pairs(entities: DataFrame, edges: DataFrame, threshold: float = 0.5) -> Data
         found = found.unionByName(alone).distinct()
     v = lambda x: entities.select(F.col("id").alias(x), F.col("embedding").alias(f"v_{x}"))
     scored = communities.jaccard(sets, found).join(v("a"), "a").join(v("b"), "b").withColumn("cosine", F.coalesce(vector.full_cosine("v_a", "v_b"), F.lit(0.0)))
-    scored = scored.select("a", "b", "jaccard", "cosine").unionByName(hot).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"), F.max("cosine").alias("cosine"))
+    scored = scored.select("a", "b", "jaccard", "cosine").unionByName(hot)
+    if least <= SLACK:  # pairs found by their vectors may share a member of many sets as well
+        scored = scored.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"), F.max("cosine").alias("cosine"))
     scored = scored.withColumn("score", JACCARD_WEIGHT * F.col("jaccard") + COSINE_WEIGHT * F.col("cosine"))
     return scored.where(F.col("score") >= threshold).select("a", "b", "jaccard", "cosine", "score")
 

@@ -116,3 +116,16 @@ def test_every_pair_of_a_group_comes_once(spark, monkeypatch):
     sets = spark.range(45).selectExpr("id", "id % 5 as member")
     got = [(r.a, r.b, r.jaccard) for r in communities.jaccard_within(sets, items, ["k"]).collect()]
     assert sorted(got) == [(a, b, float(a % 5 == b % 5)) for a in range(45) for b in range(a + 1, 45) if a % 2 == b % 2]
+
+
+def test_a_pair_of_two_hot_members_comes_once(spark, monkeypatch):
+    """All share both members, so either would give each pair; pairs that share a rare member are left to the join."""
+    monkeypatch.setattr(blocks, "SMALL", 3)
+    e = spark.createDataFrame([(i, [1.0, 0.1 * i]) for i in range(9)], "id long, embedding array<double>")
+    sets = spark.createDataFrame([(i, m) for i in range(9) for m in (100, 101)], "id long, member long")
+    first = similar._prefixes(sets, 1 / 6)
+    often = first.groupBy("member").count().select("member")
+    hot = similar._hot(e, sets, first, often, 0.5)
+    got = [(r.a, r.b) for r in hot.collect()]
+    assert sorted(got) == [(a, b) for a in range(9) for b in range(a + 1, 9)]
+    assert similar._hot(e, sets, first.unionByName(spark.createDataFrame([(i, 7, 3) for i in range(9)], first.schema)), often, 0.5).count() == 0
