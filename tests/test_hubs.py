@@ -115,3 +115,11 @@ def test_paths_between_do_not_walk_a_hub_out(spark, monkeypatch):
     got = graph.paths_between(frame(spark, STAR), starts, goals, 3).collect()
     assert sorted((r.start, r.nodes) for r in got) == [(i, [i, 0, 1_000]) for i in range(1, 301)]
     assert max(rows) <= 2 * len(STAR)
+
+
+def test_links_of_a_search_are_written_once(spark, monkeypatch):
+    rows = written(monkeypatch)
+    given = [*STAR, (0, 1), (5, 5), (None, 7), (7, None), (None, None)]
+    got = [tuple(r) for r in graph._linked(frame(spark, given)).select("node", "neighbour").collect()]
+    assert len(got) == len(set(got)) and set(got) == set(given) | {(b, a) for a, b in given}
+    assert rows == [len(STAR) + 3]
