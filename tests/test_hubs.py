@@ -123,3 +123,14 @@ def test_links_of_a_search_are_written_once(spark, monkeypatch):
     got = [tuple(r) for r in graph._linked(frame(spark, given)).select("node", "neighbour").collect()]
     assert len(got) == len(set(got)) and set(got) == set(given) | {(b, a) for a, b in given}
     assert rows == [len(STAR) + 3]
+
+
+def test_traverse_walks_on_only_to_what_is_asked(spark):
+    """Walks through light nodes are narrowed to the asked nodes before they are made distinct and hydrated."""
+    edges = frame(spark, [*STAR, (1, 400), (400, 401), (400, 402)])
+    nodes = spark.createDataFrame([(2, "two"), (401, "far")], "id long, content string")
+    ids = spark.createDataFrame([(1,)], "id long")
+    found = graph.traverse(nodes, edges, ids, 2)
+    assert sorted(map(tuple, found.select("seed", "node", "depth", "content").collect())) == [(1, 2, 2, "two"), (1, 401, 2, "far")]
+    semi = lambda df: df._jdf.queryExecution().analyzed().toString().count("LeftSemi")
+    assert semi(found) == semi(graph.search(edges, ids, 2)) + 1
